@@ -8,7 +8,8 @@ side in pi, so a signature is a running minimum over contiguous slices.
 Bands only propose pairs. Sets that are equal are one class and need no pairs. Within a band bucket the
 classes are first linked to one hub, and only classes that are still in different components after that
 are compared with each other, so a bucket of g copies costs about g comparisons, and every pair of a
-bucket ends up either compared or already connected. Each comparison is exact, over the full sets.
+bucket ends up compared, already connected, or ruled out by set sizes or sketches. The hub is the class
+that shares buckets with most others: the original of a group of edited copies, as a rule. Each comparison is exact, over the full sets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ UNIVERSE_BITS = 20
 #: Bands times rows is the signature length. A pair at the threshold of 0.8 escapes all 42 bands of 6
 #: with a probability of 3e-6, one at 0.9 with 4e-14.
 BANDS, ROWS = 42, 6
-#: Coordinates of which one bit each goes into a sketch; a pair at 0.8 differs in 12.8 of 128 bits on
-#: average (deviation 3.4), and more than 34 are 6 deviations away.
-SKETCH_BITS, SKETCH_MOST = 128, 34
+#: Four bits of each of so many coordinates are kept as a sketch. A pair at the threshold differs in 48 of
+#: them on average (deviation 6.2); one in 700,000 such pairs differs in more than SKETCH_MOST.
+SKETCH, SKETCH_MOST = 256, 77
 _MASK = np.uint64((1 << UNIVERSE_BITS) - 1)
 
 
@@ -69,22 +70,22 @@ def _signing(k: int, bands: int, rows: int):
     """Per document: set size, a 128-bit digest of the set, band keys and the sketch."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        circulant = Circulant(max(bands * rows, SKETCH_BITS))
+        circulant = Circulant(max(bands * rows, SKETCH))
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         weigh = mix64(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
         for pdf in it:
             out = []
             for doc_id, s in zip(pdf["doc_id"], _sets(pdf["text"], k), strict=True):
                 if not len(s):
-                    out.append((doc_id, 0, None, None, None, None, None))
+                    out.append((doc_id, 0, None, None, None, None))
                     continue
                 sig = circulant(s)
                 keys = mix64((mix64(sig[: bands * rows].astype(np.uint64).reshape(bands, rows) + np.uint64(1)) * weigh).sum(axis=1, dtype=np.uint64) ^ salt)
-                bits = np.packbits((mix64(sig[:SKETCH_BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                low = (mix64(sig[:SKETCH].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+                sketch = (low[::2] | (low[1::2] << 4)).view(np.int64)
                 digest = _digest(s)
-                out.append((doc_id, len(s), digest, _class_of(digest), keys.view(np.int64), int(bits[0]), int(bits[1])))
-            wide = dict.fromkeys(("doc_id", "cls", "s0", "s1"), "Int64")
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "cls", "keys", "s0", "s1"]).astype(wide)
+                out.append((doc_id, len(s), digest, _class_of(digest), keys.view(np.int64), sketch))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "cls", "keys", "sketch"]).astype({"doc_id": "Int64", "cls": "Int64"})
 
     return run
 
@@ -121,8 +122,13 @@ def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
 def _plausible(x: str, y: str, percent: int) -> Column:
     """Sizes that allow the similarity, and sketches that don't rule it out."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= SKETCH_MOST)
+    differ = []
+    for i in range(SKETCH // 16):
+        z = f"({x}.sketch[{i}] ^ {y}.sketch[{i}])"
+        differ.append(f"bit_count(({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3)) & {0x1111111111111111}L)")
+    # the bound is stated for 80 percent; for others it moves with the expected number of differences
+    most = SKETCH_MOST + max(0, 80 - percent) * SKETCH * 15 // 1600
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & F.expr(f"{' + '.join(differ)} <= {most}")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -166,27 +172,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     text are read, whatever other columns there are. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, cls long, keys array<long>, s0 long, s1 long"
+    schema = "doc_id long, n_shingles long, digest binary, cls long, keys array<long>, sketch array<long>"
     signed = materialize(docs.mapInPandas(_signing(shingle, bands, rows), schema))
     full = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes, "cls").where("doc_id = rep").dropDuplicates(["cls"])
-    reps = materialize(reps.select("cls", F.col("n_shingles").alias("n"), "s0", "s1", "keys"))
-    keyed = reps.select("cls", "n", "s0", "s1", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select("key", "hub")
+    reps = materialize(reps.select("cls", F.col("n_shingles").alias("n"), "sketch", "keys"))
+    keyed = reps.select("cls", F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = materialize(keyed.join(shared_keys, "key"))
+    company = member.groupBy("cls").agg(F.sum("size").alias("company"))
+    hub = member.join(company, "cls").groupBy("key").agg(F.max(F.struct("company", "cls"))["cls"].alias("hub"))
 
-    hubs = reps.select(F.col("cls").alias("hub"), "n", "s0", "s1")
-    spokes = member.where("cls <> hub").select("cls", "hub", "n", "s0", "s1").dropDuplicates(["cls", "hub"])
-    star = spokes.alias("p").join(hubs.alias("h"), F.col("p.hub") == F.col("h.hub")).where(_plausible("p", "h", percent))
-    tried = materialize(star.select(F.least("p.cls", "h.hub").alias("a"), F.greatest("p.cls", "h.hub").alias("b")).distinct())
+    sized = reps.select("cls", "n", "sketch")
+    spokes = member.join(hub, "key").where("cls <> hub").select("cls", "hub").distinct()
+    star = spokes.join(sized, "cls").alias("p").join(sized.withColumnRenamed("cls", "hub").alias("h"), "hub").where(_plausible("p", "h", percent))
+    tried = materialize(star.select(F.least("p.cls", "hub").alias("a"), F.greatest("p.cls", "hub").alias("b")).distinct())
     links = _confirmed(tried, classes, docs, shingle, percent)
     first = materialize(components(links, "a", "b"))
 
     at = member.join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    at = materialize(at.select("key", "cls", "n", "s0", "s1", "comp"))
+    at = materialize(at.select("key", "cls", "comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = at.join(mixed, "key", "left_semi")
+    open_ = materialize(at.join(mixed, "key", "left_semi").join(sized, "cls"))
     x, y = open_.alias("x"), open_.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _plausible("x", "y", percent))
     cross = cross.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
@@ -196,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     placed = materialize(classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     named = placed.groupBy("component").agg(F.min("rep").alias("found"))
     named = placed.join(named, "component").select("cls", "found")
-    for t in (member, at, tried, first, reps):
+    for t in (member, at, open_, tried, first, reps):
         discard(t)
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
