@@ -123,11 +123,17 @@ _VALUE_LOWER = _VALUE.copy()
 _VALUE_LOWER[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 
 
-def hash_words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: ASCII punctuation (fixed value).
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def hash_words(texts, lower: bool = True, drop: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of several texts, and where each text's words begin (one bound more than
     texts). A word's hash is a polynomial in its UTF-8 bytes modulo 2**64 with random coefficients, mixed;
-    A-Z count as a-z with `lower`. Null is the empty text."""
+    A-Z count as a-z with `lower`, and the ASCII characters of `drop` as nothing. Null is the empty text."""
     parts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    if drop:
+        parts = [p.translate(None, drop) for p in parts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
     a = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
@@ -145,6 +151,29 @@ def hash_words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(weighted, starts) * down[starts]), first
 
 
+def hash_word_starts(texts, widths: tuple[int, ...], drop: bytes | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per width, a hash of the first bytes of each word that is longer than the width (0 for other words),
+    and where each text's words begin. A-Z count as a-z, characters of `drop` as nothing."""
+    parts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    if drop:
+        parts = [p.translate(None, drop) for p in parts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
+    a = np.frombuffer(b"\n".join([*parts, b"\n" * (max(widths) + 1)]), np.uint8)
+    space = _SPACE[a]
+    starts = np.flatnonzero(np.concatenate([[True], space[:-1]]) & ~space)
+    first = np.searchsorted(starts, bounds)
+    up, _ = _powers.get(max(widths) + 1)
+    whole, sums, out = np.ones(len(starts), bool), np.zeros(len(starts), np.uint64), []
+    for i in range(max(widths) + 1):
+        at = starts + i
+        whole &= ~space[at]
+        if i in widths:
+            out.append(np.where(whole, mix64(sums + np.uint64(i)), np.uint64(0)))
+        sums += _VALUE_LOWER[a[at]] * up[i] * whole
+    return out, first
+
+
 def groups_of_texts(texts, most: int = 1 << 21):
     """Cut a series of texts into runs of about `most` characters (a longer text is a run of its own)."""
     run, size = [], 0

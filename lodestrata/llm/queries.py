@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, quality
+from . import chat, decontaminate, langid, mixing, neardup, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,30 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM n GROUP BY conv_id"""
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), path="source")
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), train=_remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, train=_remainder(4) != 2)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -133,10 +157,25 @@ o4 AS (
 SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN inside AND rest > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM o4"""
 
 
+#: The production rules of the URL filter (fixed values).
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op7_minhash_near_dedup, op8_source_mixing, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_benchmark_decontamination, op3_secret_scan, op5_toxicity, op6_language_id,
+        op7_minhash_near_dedup, op8_source_mixing, op9_url_filter, op10_quality_rules,
+    )
+}
 ORACLE_SQL = {"op1_chat_formatting": _OP1_SQL, "op7_minhash_near_dedup": _OP7_SQL, "op8_source_mixing": _OP8_SQL}
