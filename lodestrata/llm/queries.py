@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, neardup, quality, secrets, toxicity, urls
+from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), path="source")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+
+
 def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -174,8 +178,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chat_formatting, op2_benchmark_decontamination, op3_secret_scan, op5_toxicity, op6_language_id,
-        op7_minhash_near_dedup, op8_source_mixing, op9_url_filter, op10_quality_rules,
+        op1_chat_formatting, op2_benchmark_decontamination, op3_secret_scan, op4_lm_scoring, op5_toxicity,
+        op6_language_id, op7_minhash_near_dedup, op8_source_mixing, op9_url_filter, op10_quality_rules,
     )
 }
 ORACLE_SQL = {"op1_chat_formatting": _OP1_SQL, "op7_minhash_near_dedup": _OP7_SQL, "op8_source_mixing": _OP8_SQL}
