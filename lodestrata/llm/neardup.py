@@ -8,8 +8,14 @@ side in pi, so a signature is a running minimum over contiguous slices.
 Bands only propose pairs. Sets that are equal are one class and need no pairs. Within a band bucket the
 classes are first linked to one hub, and only classes that are still in different components after that
 are compared with each other, so a bucket of g copies costs about g comparisons, and every pair of a
-bucket ends up compared, already connected, or ruled out by set sizes or sketches. The hub is the class
-that shares buckets with most others: the original of a group of edited copies, as a rule. Each comparison is exact, over the full sets.
+bucket ends up compared, already connected, or ruled out by set sizes, sketches or the hub. The hub is the
+class that shares buckets with most others: the original of a group of edited copies, as a rule.
+
+The hub rules out pairs exactly. Once x and y are compared with hub h, what each has in common with h and
+what it has beyond h is known. If x and y share nothing beyond h, their intersection lies in h and is no
+larger than the smaller of theirs with h; so a pair needs comparing only if it shares a shingle beyond h,
+or if that bound lets the sizes reach the threshold. Thousands of copies with edits of their own thus stay
+few pairs, even those that are too far from the original to be linked with it. Each comparison is exact, over the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
 from .components import components
@@ -109,14 +114,15 @@ def _packing(k: int):
     return run
 
 
-def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two packed sets, each sorted and without repeats."""
-    out = []
+def _overlaps(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Of two packed sets, each sorted and without repeats: how much they share, and what `b` has beyond."""
+    shared, beyond = [], []
     for x, y in zip(a, b, strict=True):
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-        both.sort(kind="stable")
-        out.append(int((both[1:] == both[:-1]).sum()))
-    return pd.Series(out, dtype="int64")
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        shared.append(int(common.sum()))
+        beyond.append(y[~common].view(np.int64))
+    return pd.DataFrame({"shared": pd.Series(shared, dtype="int64"), "beyond": pd.Series(beyond, dtype="object")})
 
 
 def _plausible(x: str, y: str, percent: int) -> Column:
@@ -131,24 +137,55 @@ def _plausible(x: str, y: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & F.expr(f"{' + '.join(differ)} <= {most}")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets are similar enough; sets are rebuilt from the texts of just
-    the documents that stand for a class of a pair."""
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of classes with shared (size of the intersection of the full sets), n and m (their
+    sizes) and beyond (what b has and a has not). Sets are rebuilt from the texts of just the documents
+    that stand for a class of a pair."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     ids = wanted.join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(_bounded(ids), "doc_id", "left_semi")
     sets = materialize(texts.mapInPandas(_packing(k), "cls long, members binary").dropDuplicates(["cls"]))
-    shared = F.pandas_udf(_overlaps, LongType())
+    overlap = F.pandas_udf(_overlaps, "shared long, beyond array<long>")
     both = (
         pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
         .join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
-        .select("a", "b", shared("x", "y").alias("shared"), (F.octet_length("x") / 8).cast("long").alias("n"), (F.octet_length("y") / 8).cast("long").alias("m"))
+        .select("a", "b", overlap("x", "y").alias("o"), (F.octet_length("x") / 8).cast("long").alias("n"), (F.octet_length("y") / 8).cast("long").alias("m"))
     )
-    out = materialize(both.where(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select("a", "b"))
+    out = materialize(both.select("a", "b", "o.shared", "n", "m", "o.beyond"))
     discard(sets)
     return out
 
 
+def _similar(shared: str, n: str, m: str, percent: int) -> str:
+    return f"{shared} * 100 >= ({n} + {m} - {shared}) * {percent}"
+
+
+def _leftovers(star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that were compared with one hub and lie in different components, as far as
+    the hub doesn't rule them out."""
+    member = star.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.col("m").alias("n"), F.col("shared").alias("s"), "beyond")
+    member = member.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    split = member.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
+    member = materialize(member.join(split, "hub").select("hub", "cls", "n", "s", "comp", "beyond"))
+
+    own = member.select("hub", "cls", "n", "comp", F.explode("beyond").alias("shingle"))
+    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.comp") < F.col("y.comp"))
+    by_shingle = own.alias("x").join(own.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & near)
+
+    # by sizes: first for each kind (n, s) of member of a hub, of which there are few, then for members
+    kind = member.groupBy("hub", "n", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    reach = F.expr(_similar("least(p.s, q.s)", "p.n", "q.n", percent))
+    several = (F.least("p.lo", "q.lo") < F.greatest("p.hi", "q.hi")) & (F.struct("p.n", "p.s") <= F.struct("q.n", "q.s"))
+    kinds = kind.alias("p").join(kind.alias("q"), (F.col("p.hub") == F.col("q.hub")) & reach & several)
+    kinds = kinds.select("p.hub", "p.n", "p.s", F.col("q.n").alias("n2"), F.col("q.s").alias("s2"))
+    slim = member.select("hub", "n", "s", "cls", "comp")
+    x = slim.join(kinds, ["hub", "n", "s"]).select("hub", "n2", "s2", F.col("cls").alias("c1"), F.col("comp").alias("comp1"))
+    y = slim.select("hub", F.col("n").alias("n2"), F.col("s").alias("s2"), "cls", "comp")
+    by_size = x.join(y, ["hub", "n2", "s2"]).where("comp1 <> comp")
+    found = by_shingle.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    return materialize(found.union(by_size.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b"))).distinct())
+
+
 #: Ids that may be broadcast: 16 MB as longs. Above that the same join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -187,24 +224,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sized = reps.select("cls", "n", "sketch")
     spokes = member.join(hub, "key").where("cls <> hub").select("cls", "hub").distinct()
     star = spokes.join(sized, "cls").alias("p").join(sized.withColumnRenamed("cls", "hub").alias("h"), "hub").where(_plausible("p", "h", percent))
-    tried = materialize(star.select(F.least("p.cls", "hub").alias("a"), F.greatest("p.cls", "hub").alias("b")).distinct())
-    links = _confirmed(tried, classes, docs, shingle, percent)
-    first = materialize(components(links, "a", "b"))
+    tried = materialize(star.select(F.col("hub").alias("a"), F.col("p.cls").alias("b")).distinct())
+    star = _compared(tried, classes, docs, shingle)
+    similar = _similar("shared", "n", "m", percent)
+    first = materialize(components(star.where(similar), "a", "b"))
 
-    at = member.join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    at = materialize(at.select("key", "cls", "comp"))
+    at = member.join(hub, "key").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+    at = materialize(at.select("key", "hub", "cls", "comp"))
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(at.join(mixed, "key", "left_semi").join(sized, "cls"))
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _plausible("x", "y", percent))
-    cross = cross.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    more = _confirmed(materialize(cross.join(tried, ["a", "b"], "left_anti")), classes, docs, shingle, percent)
+    known = tried.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(False).alias("far"))
+    open_ = at.join(mixed, "key", "left_semi").join(known, ["hub", "cls"], "left").join(sized, "cls")
+    # far: not compared with the hub of its bucket, so only sizes and sketches can rule its pairs out
+    far = F.coalesce("far", F.col("cls") != F.col("hub"))
+    open_ = materialize(open_.select("key", "cls", "comp", "n", "sketch", far.alias("far")).where(F.col("far") | (F.col("cls") != F.col("hub"))))
+    x, y = open_.where("far").alias("x"), open_.alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.far") | (F.col("x.cls") < F.col("y.cls")))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent))
+    cross = cross.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).union(_leftovers(star, first, percent)).distinct()
+    more = _compared(materialize(cross), classes, docs, shingle).where(similar).select("a", "b")
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     placed = materialize(classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     named = placed.groupBy("component").agg(F.min("rep").alias("found"))
     named = placed.join(named, "component").select("cls", "found")
-    for t in (member, at, open_, tried, first, reps):
+    for t in (member, at, open_, tried, star, first, reps):
         discard(t)
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
