@@ -111,12 +111,14 @@ class Items:
             text = np.searchsorted(first, at, side="right") - 1
             inside = at + width <= first[text + 1]
             at, slot, text = at[inside], slot[inside], text[inside]
+            if not len(at):
+                continue
             times = begin[slot + 1] - begin[slot]
-            item = owner[np.repeat(begin[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)] if len(at) else np.empty(0, np.int64)
+            item = owner[np.repeat(begin[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             at, text = np.repeat(at, times), np.repeat(text, times)
             order = np.lexsort((at, item, text))
             at, text, item = at[order], text[order], item[order]
-            edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.empty(0, np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
             found: dict[tuple[int, int], tuple[float, int, int]] = {}
             for a, b in zip(edge, np.append(edge[1:], len(at)), strict=True):
                 j, t = int(item[a]), int(text[a])
