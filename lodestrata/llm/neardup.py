@@ -258,8 +258,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without the near copies of an earlier document: of each group the one with the
     smallest doc_id stays. Every column is kept as it is. Rows with a null doc_id stay; of rows that
-    repeat both doc_id and text one stays."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = _bounded(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    nameless = docs.where("doc_id IS NULL")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(nameless)
+    repeat both doc_id and text one stays; texts that share a doc_id stay or go together, and stay if one
+    of them does."""
+    found = materialize(near_duplicates(docs, shingle, percent).select("doc_id", "kept"))
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    gone = _bounded(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")))
+    # only rows whose doc_id repeats are compared by text, so other texts aren't shuffled
+    again = _bounded(ids.where("n > 1").select(F.col("doc_id").alias("__again")))
+    stay = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    same = docs["doc_id"] == again["__again"]
+    return stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
