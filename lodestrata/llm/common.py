@@ -174,7 +174,7 @@ def hash_word_starts(texts, widths: tuple[int, ...], drop: bytes | None = None)
     return out, first
 
 
-def groups_of_texts(texts, most: int = 1 << 21):
+def groups_of_texts(texts, most: int = 1 << 20):
     """Cut a series of texts into runs of about `most` characters (a longer text is a run of its own)."""
     run, size = [], 0
     for t in texts:
