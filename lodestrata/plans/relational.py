@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import joins as J
+from ..operators.review import dense_index
 from ..session import table
 from .common import HASHED_SQL, ITEMS_SQL, PAGES_SQL, hashed, items, pages
 from .registry import query
@@ -102,9 +103,7 @@ def flt14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn1_timeline", f"SELECT id, ts, row_number() OVER (ORDER BY ts, id) - 1 AS position FROM ({ITEMS_SQL})")
 def jn1(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return items(spark, d).select("id", "ts", (F.row_number().over(Window.orderBy("ts", "id")) - 1).cast("long").alias("position"))
+    return dense_index(items(spark, d).select("id", "ts"), [F.col("ts"), F.col("id")]).select("id", "ts", "position")
 
 
 @query(
@@ -180,14 +179,11 @@ def jn10(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "jn10_nearest_hamming",
     f"""SELECT id, other, distance FROM (SELECT a.id, b.id AS other, bit_count(xor(a.h, b.h))::INTEGER AS distance,
-    row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.h, b.h)), b.id) AS r FROM ({HASHED_SQL}) a JOIN ({HASHED_SQL}) b ON a.id <> b.id AND a.label = b.label) WHERE r = 1""",
+    row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.h, b.h)), b.id) AS r FROM ({HASHED_SQL}) a JOIN ({HASHED_SQL}) b ON a.id <> b.id AND a.label = b.label AND a.id % 20 = 0) WHERE r = 1""",
 )
 def jn10n(spark: SparkSession, d: str) -> DataFrame:
     h = hashed(spark, d)
-    x, y = h.alias("x"), h.alias("y")
-    pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.id") != F.col("y.id")))
-    best = F.min(F.struct(C.hamming(F.col("x.h"), F.col("y.h")).alias("distance"), F.col("y.id").alias("other"))).alias("m")
-    return pairs.groupBy("x.id").agg(best).select("id", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
+    return J.nearest(h.where("id % 20 = 0"), h, "id", "h", "label").select(F.col("query").alias("id"), F.col("item").alias("other"), "distance")
 
 
 @query(
@@ -249,17 +245,17 @@ def jn14(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn15_reciprocal_best",
-    f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE label < 2), p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format(a='a', b='b')} AS s FROM e a JOIN e b ON a.label = 0 AND b.label = 1),
+    f"""WITH e AS ({ITEMS_SQL}), p AS (SELECT a.id AS a, b.id AS b, {_DOT.format(a='a', b='b')} AS s FROM e a JOIN e b ON a.user_id = b.user_id AND a.id % 2 = 0 AND b.id % 2 = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS rb,
     lead(s) OVER (PARTITION BY a ORDER BY s DESC, b) AS na, lead(s) OVER (PARTITION BY b ORDER BY s DESC, a) AS nb FROM p)
-    SELECT a, b, round(s, 6) AS similarity FROM r WHERE ra = 1 AND rb = 1 AND s >= 0.1 AND coalesce(s - na >= 0.01, true) AND coalesce(s - nb >= 0.01, true)""",
+    SELECT a, b, round(s, 6) AS similarity FROM r WHERE ra = 1 AND rb = 1 AND s >= 0.05 AND coalesce(s - na >= 0.01, true) AND coalesce(s - nb >= 0.01, true)""",
 )
 def jn15(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    a = e.where("label = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
-    b = e.where("label = 1").select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
-    pairs = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("a", "b", C.dot(F.col("u"), F.col("v")).alias("s"))
-    return J.reciprocal_best(pairs, "a", "b", "s", 0.1, 0.01).select("a", "b", F.round("s", 6).alias("similarity"))
+    e = items(spark, d)
+    a = e.where("id % 2 = 0").select("user_id", F.col("id").alias("a"), F.col("embedding").alias("u"))
+    b = e.where("id % 2 = 1").select("user_id", F.col("id").alias("b"), F.col("embedding").alias("v"))
+    pairs = a.join(b, "user_id").select("a", "b", C.dot(F.col("u"), F.col("v")).alias("s"))
+    return J.reciprocal_best(pairs, "a", "b", "s", 0.05, 0.01).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
 _BOX = "SELECT event_id, user_id, [value % 50, value % 30, value % 50 + 20, value % 30 + 20] AS box FROM events WHERE user_id < 20"
