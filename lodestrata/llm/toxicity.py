@@ -24,7 +24,7 @@ IDENTITY = (
     "black", "white", "asian", "latino", "african", "european", "immigrant", "refugee", "deaf", "blind", "elderly", "young",
 )
 #: At most so many labelled documents of each label are learned from, drawn by hash of doc_id.
-TRAIN_TOXIC, TRAIN_OTHER = 3000, 5000
+TRAIN_TOXIC, TRAIN_OTHER = 1500, 2500
 FEATURES, PAIRS = 4000, 600
 WIDTHS = (4, 5, 6, 7, 8)
 
@@ -60,6 +60,15 @@ class Model:
         text, feature = np.divmod(key, max(len(self.hashes), 1))
         return text, feature, np.log1p(200 * count / (n[text] + 20))
 
+    def all_rows(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rows() of many texts, worked out a piece at a time."""
+        parts, base = [], 0
+        for part in groups_of_texts(texts):
+            text, feature, rate = self.rows(part)
+            parts.append((text + base, feature, rate))
+            base += len(part)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         text, feature, rate = self.rows(texts)
         z = np.bincount(text, self.weights[0, feature] + self.weights[1, feature] * rate, len(texts)) + self.bias
@@ -69,13 +78,19 @@ class Model:
 def _select(texts: Sequence[str], toxic: np.ndarray) -> np.ndarray:
     """Hashes of the features whose share of documents differs most between the labels, and of all identity
     terms."""
-    hashes, owner, _ = _tokens(texts)
-    order = np.lexsort((owner, hashes))
-    hashes, owner = hashes[order], owner[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.empty(0, bool)
-    hashes, hit = hashes[new], toxic[owner[new]]
-    unique, at = np.unique(hashes, return_inverse=True)
-    t, all_ = np.bincount(at, hit, len(unique)), np.bincount(at, minlength=len(unique))
+    unique, t, all_ = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    base = 0
+    for part in groups_of_texts(texts):  # one piece at a time, so that only counts add up in memory
+        hashes, owner, _ = _tokens(part)
+        order = np.lexsort((owner, hashes))
+        hashes, owner = hashes[order], owner[order] + base
+        base += len(part)
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.empty(0, bool)
+        hashes, hit = hashes[new], toxic[owner[new]]
+        merged, at = np.unique(np.concatenate([unique, hashes]), return_inverse=True)
+        t = np.bincount(at, np.concatenate([t, hit]), len(merged))
+        all_ = np.bincount(at, np.concatenate([all_, np.ones(len(hashes))]), len(merged))
+        unique = merged
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
     p1, p0 = (t + 0.5) / (n1 + 1), (all_ - t + 0.5) / (n0 + 1)
     z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - np.minimum(p1, 0.999)) / n1 + p0 * (1 - np.minimum(p0, 0.999)) / n0)
@@ -114,7 +129,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int], weight: Sequence[float] | No
     model = Model(hashes := _select(texts, y), np.zeros((2, len(hashes))), 0.0)
     pick = np.random.default_rng(7).permutation(len(texts))[:PAIRS]
     a, b = counterfactuals([texts[i] for i in pick])
-    (ti, fi, xi), (ta, fa, xa), (tb, fb, xb) = (model.rows(list(t)) for t in (texts, a, b))
+    (ti, fi, xi), (ta, fa, xa), (tb, fb, xb) = (model.all_rows(t) for t in (texts, a, b))
     n, k, m = len(y), len(hashes), len(a)
     theta, mean, var = np.zeros(2 * k + 1), np.zeros(2 * k + 1), np.zeros(2 * k + 1)
     w = w / w.sum()
