@@ -1,9 +1,10 @@
 """Language-model scores: masked pseudo-likelihood of a bidirectional window network, trained in numpy.
 
 Every word is predicted from WINDOW words on both sides, itself hidden; the sum of these conditional
-log-probabilities scores a document. Words outside the vocabulary are one token. The output is factored
-by classes (words in order of frequency, cut at equal sums of square roots of counts): the network gives
-the class, the corpus counts give the word in its class.
+log-probabilities scores a document. The output is factored by classes (words in order of frequency, cut
+at equal sums of square roots of counts): the network gives the class, the corpus counts give the word in
+its class. The vocabulary is every word that occurs twice or more, so it grows with the corpus; the words
+that occur once are one token, each charged its equal share of them, and so is a word that never occurs.
 
 Counts cover all words of all documents. Training covers all documents too: every task descends on every
 TRAIN_EVERY-th word of its own documents from the same start, and the parameters are averaged, weighted
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, groups_of_texts, hash_words, materialize
 
-#: Size of the model; nothing else is bounded.
-VOCABULARY, CLASSES, DIMENSION, HIDDEN, WINDOW = 4096, 64, 16, 32, 2
+#: Size of the network; nothing else is bounded. The OWN most frequent words have an embedding each as
+#: context, the others share SHARED of them.
+OWN, SHARED, CLASSES, DIMENSION, HIDDEN, WINDOW = 4096, 1024, 64, 16, 32, 2
 TRAIN_EVERY, BATCH, RATE = 16, 256, 0.004
 #: Words that a counting task holds before it hands on their counts.
 HELD = 4_000_000
@@ -47,31 +49,30 @@ def _count_words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Vocabulary:
-    """Token numbers: 0 is a word outside, 1 the padding at the ends of a text, then words by frequency."""
+    """Token numbers: 0 is a word that occurs once or never, 1 the padding at the ends of a text, then the
+    other words by frequency. `total` counts all words of the corpus."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int) -> None:
-        outside = max(total - int(counts.sum()), 1)
+        once = max(total - int(counts.sum()), 1)
         order = np.argsort(hashes)
-        self._hashes, self._ids = hashes[order], (np.arange(len(hashes)) + 2)[order]
-        self._filter = np.zeros(1 << 20, bool)
-        self._filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self._hashes, self._ids = hashes[order], (np.arange(len(hashes), dtype=np.int32) + 2)[order]
         self.size = len(hashes) + 2
         mass = np.cumsum(np.sqrt(counts)) if len(counts) else np.empty(0)
         middle = (mass - np.sqrt(counts) / 2) / mass[-1] if len(mass) else mass
-        self.classes = np.concatenate([[0, 0], 1 + np.minimum((middle * (CLASSES - 1)).astype(int), CLASSES - 2)]).astype(np.int64)
-        weight = np.concatenate([[outside, 0], counts]).astype(float)
+        self.classes = np.concatenate([[0, 0], 1 + np.minimum((middle * (CLASSES - 1)).astype(int), CLASSES - 2)]).astype(np.int8)
+        weight = np.concatenate([[once, 0], counts]).astype(float)
         with np.errstate(divide="ignore"):
             self.in_class = np.log(weight / np.bincount(self.classes, weight, CLASSES)[self.classes]).astype(np.float32)
+        self.in_class[0] = -np.log(once)
 
     def tokens(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of texts, WINDOW paddings before and after each, and where each text begins."""
         hashes, first = hash_words(texts, drop=PUNCTUATION)
         ids = np.zeros(len(hashes), np.int64)
         if len(self._hashes):
-            at = np.flatnonzero(self._filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(self._hashes, hashes[at]), len(self._hashes) - 1)
-            hit = self._hashes[slot] == hashes[at]
-            ids[at[hit]] = self._ids[slot[hit]]
+            words, which = np.unique(hashes, return_inverse=True)
+            slot = np.minimum(np.searchsorted(self._hashes, words), len(self._hashes) - 1)
+            ids = np.where(self._hashes[slot] == words, self._ids[slot], 0).astype(np.int64)[which]
         shift = np.arange(1, len(first)) * 2 * WINDOW - WINDOW
         out = np.ones(len(ids) + 2 * WINDOW * (len(first) - 1), np.int64)
         n = np.diff(first)
@@ -86,7 +87,8 @@ class Network:
     """Embeddings of the words around, one tanh layer, and class logits; parameters in one flat array."""
 
     def __init__(self, words: int, flat: np.ndarray | None = None) -> None:
-        shapes = ((words, DIMENSION), (len(_AROUND) * DIMENSION, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+        rows = words if words <= OWN + 2 else OWN + 2 + SHARED
+        shapes = ((rows, DIMENSION), (len(_AROUND) * DIMENSION, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             rng = np.random.default_rng(4)
@@ -94,6 +96,12 @@ class Network:
         self.flat = flat.astype(np.float32)
         self.e, self.w1, self.b1, self.w2, self.b2 = (p.reshape(s) for p, s in zip(np.split(self.flat, np.cumsum(sizes)[:-1]), shapes, strict=True))
 
+    @staticmethod
+    def _around(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Embedding rows of the words around each place."""
+        around = tokens[at[:, None] + _AROUND]
+        return np.where(around < OWN + 2, around, OWN + 2 + around % SHARED)
+
     def _forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.e[around].reshape(len(around), -1)
         hidden = np.tanh(x @ self.w1 + self.b1)
@@ -103,13 +111,13 @@ class Network:
 
     def log_classes(self, tokens: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of the class at each place."""
-        _, _, z = self._forward(tokens[at[:, None] + _AROUND])
+        _, _, z = self._forward(self._around(tokens, at))
         return z[np.arange(len(at)), classes] - np.log(np.exp(z).sum(axis=1))
 
     def train(self, tokens: np.ndarray, at: np.ndarray, classes: np.ndarray, state: dict) -> None:
         """One Adam step on the mean log loss at some places; embeddings move by plain scaled gradients of
         the rows that take part."""
-        around = tokens[at[:, None] + _AROUND]
+        around = self._around(tokens, at)
         x, hidden, z = self._forward(around)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
@@ -184,8 +192,10 @@ def learn(docs: DataFrame) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = materialize(texts.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total)
+    known = counts.where("n > 1").toArrow()
+    hashes, n = (known[c].to_numpy() for c in ("h", "n"))
+    order = np.lexsort((hashes, -n))
+    vocabulary = Vocabulary(hashes[order].view(np.uint64), n[order], total)
     sums = texts.mapInPandas(_trainer(vocabulary), "place int, value double, words double")
     mean = sums.groupBy("place").agg((F.sum("value") / F.sum("words")).alias("value")).toPandas().sort_values("place")
     return Model(vocabulary, Network(vocabulary.size, mean["value"].to_numpy() if len(mean) else None))
