@@ -6,8 +6,8 @@ at equal sums of square roots of counts): the network gives the class, the corpu
 its class. The vocabulary is every word that occurs twice or more, so it grows with the corpus; the words
 that occur once are one token, each charged its equal share of them, and so is a word that never occurs.
 
-Counts cover all words of all documents. Training covers all documents too: every task descends on every
-TRAIN_EVERY-th word of its own documents from the same start, and the parameters are averaged, weighted
+Counts cover all words of all documents. Training covers them too: every task descends once on every word
+of its own documents from the same start, and the parameters are averaged, weighted
 by words (parallelised stochastic gradient descent, Zinkevich et al. 2010). Sums are taken parameter by
 parameter, so no task and not the driver ever holds more than one model.
 """
@@ -26,7 +26,7 @@ from .common import PUNCTUATION, groups_of_texts, hash_words, materialize
 #: Size of the network; nothing else is bounded. The OWN most frequent words have an embedding each as
 #: context, the others share SHARED of them.
 OWN, SHARED, CLASSES, DIMENSION, HIDDEN, WINDOW = 4096, 1024, 64, 16, 32, 2
-TRAIN_EVERY, BATCH, RATE = 16, 256, 0.004
+BATCH, RATE = 256, 0.004
 #: Words that a counting task holds before it hands on their counts.
 HELD = 4_000_000
 
@@ -155,8 +155,7 @@ def _trainer(vocabulary: Vocabulary):
             for part in groups_of_texts(pdf["text"]):
                 tokens, first = vocabulary.tokens(part)
                 at, _ = _places(first, tokens)
-                mine = at[(seen % TRAIN_EVERY) :: TRAIN_EVERY]
-                mine = np.random.default_rng(len(tokens)).permutation(mine)
+                mine = np.random.default_rng(len(tokens)).permutation(at)
                 for i in range(0, len(mine), BATCH):
                     some = mine[i : i + BATCH]
                     net.train(tokens, some, vocabulary.classes[tokens[some]], state)

@@ -1,6 +1,7 @@
 """Results that are only right when an operator takes in all of its input."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestrata.llm import lmscore
@@ -16,3 +17,14 @@ def test_lm_vocabulary_grows_with_the_corpus(spark):
     assert not tokens[first[1] : first[1] + len(once)].any() and not tokens[first[2]]
     # a word that occurs once has its share of such words, not their whole mass
     assert vocabulary.in_class[0] == pytest.approx(-np.log(len(once)))
+
+
+def test_lm_training_descends_on_every_word(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lmscore.Network, "train", lambda self, tokens, at, classes, state: seen.extend(tokens[at].tolist()))
+    hashes, first = lmscore.hash_words([" ".join(f"w{i}x" for i in range(700))])
+    vocabulary = lmscore.Vocabulary(hashes, np.full(len(hashes), 2), 2 * len(hashes))
+    texts = [" ".join(f"w{i}x" for i in range(k)) for k in (3, 5, 700)]
+    out = list(lmscore._trainer(vocabulary)(iter([pd.DataFrame({"text": texts[:2]}), pd.DataFrame({"text": texts[2:]})])))
+    assert sorted(seen) == sorted(t for k in (3, 5, 700) for t in range(2, k + 2))
+    assert (out[0].words == 708).all()
