@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are long runs of token characters with a digit, and quoted values after "=" or ":". The forest
+Candidates are long runs of token characters with a digit, quoted values with a digit after "=" or ":", and
+any value, quoted or not, after "=" or ":" and a name that holds a secret word. The forest
 looks at length, character classes and transitions, dictionary coverage, path and neighbouring words; it
 is trained from labelled findings.
 """
@@ -41,6 +42,9 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="]] = True
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[[*b"0123456789"]] = 1
+#: What stands before and after the sign that assigns a value to a secret-like name.
+_NAME = re.compile(rb"(?:" + "|".join(SECRET_WORDS).encode() + rb")[\w-]*[\"'`]?[ \t]*$", re.IGNORECASE)
+_VALUE = re.compile(rb"[ \t]*[\"'`]?")
 _ANY_WORD = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 FEATURES = 16
 
@@ -118,6 +122,17 @@ def labelled_findings(n: int = 1600, seed: int = 11) -> list[tuple[str, str, str
         else:
             row = (text(hex_, 40), f"{lead} {pick(SECRET_WORDS)} = \"", f"\" {tail}", pick(("test/fixture.json", "docs/example.md", "vendor/mock.lock")))
         out.append((*row, 0))
+    # assigned values without a digit or under LEAST characters: random letters, passphrases and short keys
+    # against words, names and types
+    low = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(n // 2):
+        lead, name = " ".join(words(3)), pick(SECRET_WORDS)
+        quote, sign = pick(("\"", "'", "")), pick((" = ", "=", ": ", ":"))
+        if i % 2:
+            value = pick((text(b64[:52], pick((16, 20, 24, 32))), "".join(w.title() for w in words(pick((3, 4, 5)))), "".join(text(low, pick((4, 5, 6, 7))).title() for _ in range(4)), text(b64[:62], pick((8, 10, 12, 15)))))
+        else:
+            value = pick((pick(DICTIONARY), pick(DICTIONARY).title(), text(low, pick((2, 4, 6, 8, 11))), text(low, pick((5, 7, 9))).title(), "_".join(words(2)), "_".join(words(3)), text(digits, pick((1, 2, 4)))))
+        out.append((value, f"{lead} {name}{sign}{quote}", f"{quote} {' '.join(words(2))}", "src0", i % 2))
     return out
 
 
@@ -143,19 +158,33 @@ class Scanner:
         digits = np.add.reduceat(np.append(_DIGIT[a], 0), np.column_stack([begin, end]).ravel())[::2]
         size = end - begin
         quote = np.isin(a[np.maximum(begin - 1, 0)], np.frombuffer(b"\"'`", np.uint8)) & (begin > 0)
-        keep = np.flatnonzero((digits > 0) & ((size >= LEAST) | (quote & (size >= LEAST_QUOTED))))
+        wanted = (digits > 0) & ((size >= LEAST) | (quote & (size >= LEAST_QUOTED)))
+        assigned: dict[int, int] = {}
+        for at in np.flatnonzero((a == ord("=")) | (a == ord(":"))).tolist():
+            if _NAME.search(blob[max(0, at - 4 * CONTEXT) : at].rpartition(b"\n")[2]):
+                value_at = _VALUE.match(blob, at + 1).end()
+                i = int(np.searchsorted(begin, value_at, side="right")) - 1
+                if i >= 0 and value_at < end[i]:
+                    assigned.setdefault(i, value_at)
+        # what stands before an assigned value in its run stays a candidate of its own
+        pieces = [(int(begin[k]), assigned.get(k, int(end[k])), False) for k in np.flatnonzero(wanted).tolist()]
+        pieces += [(b, int(end[k]), True) for k, b in assigned.items()]
         out = []
-        for b, e in zip(begin[keep].tolist(), end[keep].tolist(), strict=True):
+        for b, e, sure in sorted(pieces):
+            if e <= b:
+                continue
             value = blob[b:e]
             lead = len(value) - len(value.lstrip(b"=-/+"))
-            name = re.match(rb"[A-Za-z_]+=(?=.)", value[lead:])
+            name = None if sure else re.match(rb"[A-Za-z_]+=(?=.)", value[lead:])
             lead += name.end() if name else 0
             b, e = b + lead, e - (len(value) - len(value.rstrip(b"-/+")))
+            if e <= b:
+                continue
             i = int(np.searchsorted(bounds, b, side="right")) - 1
             lo, hi = int(bounds[i]), int(bounds[i + 1]) - 1
             before = blob[max(lo, b - 4 * CONTEXT) : b].decode("utf-8", "ignore")[-CONTEXT:]
             after = blob[e : min(hi, e + 4 * CONTEXT)].decode("utf-8", "ignore")[:CONTEXT]
-            if e - b < LEAST and not (e - b >= LEAST_QUOTED and re.search(r"[=:]\s*[\"'`]$", before)):
+            if not sure and e - b < LEAST and not (e - b >= LEAST_QUOTED and re.search(r"[=:]\s*[\"'`]$", before)):
                 continue
             start = len(blob[lo:b].decode("utf-8", "surrogatepass"))
             out.append((i, start, start + e - b, blob[b:e].decode(), before, after))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestrata.llm import lmscore
+from lodestrata.llm import lmscore, secrets
 
 
 def test_lm_vocabulary_grows_with_the_corpus(spark):
@@ -28,3 +28,11 @@ def test_lm_training_descends_on_every_word(monkeypatch):
     out = list(lmscore._trainer(vocabulary)(iter([pd.DataFrame({"text": texts[:2]}), pd.DataFrame({"text": texts[2:]})])))
     assert sorted(seen) == sorted(t for k in (3, 5, 700) for t in range(2, k + 2))
     assert (out[0].words == 708).all()
+
+
+def test_secrets_without_a_digit_or_under_the_least_length():
+    scanner = secrets.Scanner()
+    texts = ['set password = "CorrectHorseBatteryStaple" here', "api_key=QwXrTbnMkLpZsDfGhJvY end", "passwd: x7Kq2ZrT9b now", "author: Johnson wrote", "token: string", "a token of thanks"]
+    assert {c for _, _, _, c, _, _ in scanner.candidates(texts)} >= {"CorrectHorseBatteryStaple", "QwXrTbnMkLpZsDfGhJvY", "x7Kq2ZrT9b"}
+    found = scanner.scan(texts, [""] * len(texts))
+    assert [(i, s) for i, _, _, s, _ in found] == [(0, "CorrectHorseBatteryStaple"), (1, "QwXrTbnMkLpZsDfGhJvY"), (2, "x7Kq2ZrT9b")]
