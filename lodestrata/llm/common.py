@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +22,36 @@ _roots: dict[str, object] = {}
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (single-machine tests), a temporary folder stands in.
+    Where that setting is absent, a temporary folder stands in if the master is local; on a cluster each
+    machine would write to a disk of its own, so that is an error.
     """
     app = spark.sparkContext.applicationId
     for root in _roots:
         if root.endswith(app):
             return root
     key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or tempfile.mkdtemp(prefix="lodestrata-")
+    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lodestrata-")
     root = f"{base.rstrip('/')}/lodestrata-{app}"
     _roots[root] = spark
     return root
 
 
+#: Bytes of rows that travel to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a worker's memory doesn't follow the length of texts. A bound
+    that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf._jconf.contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write `df` as a parquet table in the scratch folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -213,10 +230,3 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(h)] + np.uint64(j + 1))
     return mix64(h + np.uint64(width))
-
-
-def one_row_batches(it: Iterator, rows: int) -> Iterator:
-    """Cut pandas batches into pieces of at most `rows` rows, which bounds the memory of a kernel."""
-    for pdf in it:
-        for i in range(0, len(pdf), rows):
-            yield pdf.iloc[i : i + rows]

@@ -5,12 +5,17 @@ that explains it needs few, long phrases. With z phrases over n characters and m
 z * log2(m) / n estimates the cross entropy in bits a character (Ziv and Merhav, 1993), and the language
 with the least wins. A suffix automaton of the learned text answers "can the phrase go on?" in one step.
 
-The automaton becomes a dense table, and texts are cut into lanes of LANE characters (a phrase ends with
-its lane), so that numpy parses thousands of lanes at once, one character of each a step.
+The driver builds the automata once and broadcasts their moves, (state, letter) to state, of which there
+are at most three for each learned character, whatever the alphabet; workers look them up in one hash
+table. Texts are cut into lanes so that numpy parses thousands of lanes at once, one character of each a
+step. A lane is first parsed as if a phrase began with it; the state that the lane before ends in then
+corrects it up to the place where both parses are in the same state, so phrases run on across lanes and
+are exactly those of a parse from left to right.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups_of_texts
+from .common import bound_batches, groups_of_texts
 
-#: Learned text per language: up to SAMPLE_DOCS documents, SAMPLE_CHARS characters of each, drawn by hash.
-SAMPLE_DOCS, SAMPLE_CHARS = 160, 400
+#: Learned from per language: of up to SAMPLE_DOCS labelled documents, drawn by hash, whole texts up to
+#: LEARNED characters in all; over all languages up to LEARNED_IN_ALL characters, shared evenly.
+SAMPLE_DOCS, LEARNED, LEARNED_IN_ALL = 160, 120_000, 2_000_000
+#: Characters that one step of numpy advances by are as many as there are lanes of so many characters.
 LANE = 192
-#: Languages that a model may have; each takes about 10 MB in a worker.
-MOST_LANGUAGES = 64
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 
@@ -51,9 +56,10 @@ def fold(text: str) -> np.ndarray:
     return x[~(gap & np.concatenate([[False], gap[:-1]]))] if len(x) else x
 
 
-def suffix_automaton(text: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a text of letter codes: row per state, 0 where none. State 0
-    is dead, state 1 is the start, so a path from 1 exists for just the substrings of the text."""
+def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Moves of the suffix automaton of a text of letter codes, as arrays of state, letter and next state,
+    and the number of states. State 0 is dead, state 1 is the start, so a path from 1 exists for just the
+    substrings of the text."""
     moves: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in text.tolist():
@@ -79,35 +85,100 @@ def suffix_automaton(text: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.zeros((len(moves), letters), np.int32)
-    for state, to in enumerate(moves):
-        for c, t in to.items():
-            out[state, c] = t
-    return out
+    n = [len(m) for m in moves]
+    letters = np.fromiter((c for m in moves for c in m), np.int32, sum(n))
+    to = np.fromiter((t for m in moves for t in m.values()), np.int32, sum(n))
+    return np.repeat(np.arange(len(moves), dtype=np.int32), n), letters, to, len(moves)
+
+
+class _Moves:
+    """A hash table from (state, letter) to the next state, with linear probing; 0 where there is no move."""
+
+    def __init__(self, key: np.ndarray, to: np.ndarray) -> None:
+        self._bits = max(4, int(2 * len(key)).bit_length())
+        self._mask = (1 << self._bits) - 1
+        self._key, self._to = np.full(1 << self._bits, -1, np.int64), np.zeros(1 << self._bits, np.int32)
+        slot = self._slot(key)
+        while len(key):
+            slot, first = np.unique(slot, return_index=True)
+            free = self._key[slot] < 0
+            put = first[free]
+            self._key[slot[free]], self._to[slot[free]] = key[put], to[put]
+            left = np.ones(len(key), bool)
+            left[put] = False
+            key, to = key[left], to[left]
+            # go on from each key's own slot to the first one that is still free
+            slot = self._slot(key)
+            while (taken := self._key[slot] >= 0).any():
+                slot[taken] = (slot[taken] + 1) & self._mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        found = self._key[slot]
+        out = np.where(found == key, self._to[slot], 0)
+        at = np.flatnonzero((found != key) & (found >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & self._mask
+            found = self._key[slot[at]]
+            hit = found == key[at]
+            out[at[hit]] = self._to[slot[at[hit]]]
+            at = at[~hit & (found >= 0)]
+        return out
+
+
+def automata(texts: dict[str, str]) -> dict:
+    """What a Model is made of, in plain arrays: the languages in order, the alphabet, learned characters a
+    language, and the moves of all automata, whose states are numbered through; `starts` are their starts."""
+    languages = sorted(texts)
+    folded = [fold(texts[x]) for x in languages]
+    alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *folded]))
+    alphabet = alphabet[alphabet != 32]
+    code = _codes(alphabet)
+    keys, targets, starts, base = [], [], [], 0
+    for f in folded:
+        state, letter, to, n = suffix_automaton(code[f])
+        keys.append((state.astype(np.int64) + base) * (len(alphabet) + 2) + letter)
+        targets.append((to + base).astype(np.int32))
+        starts.append(base + 1)
+        base += n
+    cat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+    return {"languages": languages, "alphabet": alphabet, "sizes": [len(f) for f in folded], "keys": cat(keys, np.int64), "to": cat(targets, np.int32), "starts": starts}
+
+
+def _codes(alphabet: np.ndarray) -> np.ndarray:
+    code = np.full(0x110000, _OTHER, np.int32)
+    code[32] = _SPACE
+    code[alphabet] = np.arange(2, len(alphabet) + 2)
+    return code
 
 
 class Model:
-    """Automata of several languages over one alphabet, from learned text per language."""
-
-    def __init__(self, texts: dict[str, str]) -> None:
-        self.languages = sorted(texts)
-        folded = [fold(texts[x]) for x in self.languages]
-        alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *folded]))
-        alphabet = alphabet[alphabet != 32]
-        self.letters = len(alphabet) + 2
-        self._code = np.full(0x110000, _OTHER, np.uint16)
-        self._code[32] = _SPACE
-        self._code[alphabet] = np.arange(2, self.letters)
-        self._tables = [suffix_automaton(self._code[f], self.letters).ravel() for f in folded]
-        self._bits = np.array([np.log2(max(len(f), 2)) for f in folded])
+    """Automata of several languages over one alphabet, from learned text per language or from automata()."""
+
+    def __init__(self, texts: dict[str, str] | None = None, made: dict | None = None) -> None:
+        made = automata(texts or {}) if made is None else made
+        self.languages, self._starts = made["languages"], made["starts"]
+        self.letters = len(made["alphabet"]) + 2
+        self._code = _codes(made["alphabet"])
+        self._moves = _Moves(made["keys"], made["to"])
+        self._bits = np.array([np.log2(max(n, 2)) for n in made["sizes"]])
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Bits a character for each text and language; infinite where a text has no letter."""
-        codes = [self._code[fold(t)] if isinstance(t, str) and t else np.empty(0, np.uint16) for t in texts]
-        size = np.array([len(c) if (c != _SPACE).any() else 0 for c in codes])
+        codes = [self._code[fold(t)] if isinstance(t, str) and t else np.empty(0, np.int32) for t in texts]
+        size = np.array([len(c) if (c != _SPACE).any() else 0 for c in codes], np.int64)
+        phrases = np.stack([self._phrases(codes, size, start) for start in self._starts], axis=1) if self._starts else np.zeros((len(texts), 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(size[:, None] > 0, phrases * self._bits / size[:, None], np.inf)
+
+    def _phrases(self, codes: list[np.ndarray], size: np.ndarray, start: int) -> np.ndarray:
+        """How many phrases each text has in the language whose automaton has this start."""
         lanes = -(-size // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        grid = np.zeros((len(owner), LANE), np.uint16)
+        owner = np.repeat(np.arange(len(codes)), lanes)
+        grid = np.zeros((len(owner), LANE), np.int32)
         length = np.full(len(owner), LANE)
         row = 0
         for c, n, k in zip(codes, size, lanes, strict=True):
@@ -115,27 +186,33 @@ class Model:
                 grid[row : row + k].reshape(-1)[:n] = c[:n]
                 length[row + k - 1] = n - (k - 1) * LANE
                 row += k
-        phrases = np.zeros((len(texts), len(self.languages)))
-        order = np.argsort(-length, kind="stable")
-        owner, length = owner[order], length[order]
-        columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
-        live = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than each step
-        for j, table in enumerate(self._tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
+        columns = np.ascontiguousarray(grid.T)
+        root = np.zeros(self.letters, np.int32)
+        root[:] = self._moves(np.arange(self.letters, dtype=np.int64) + start * self.letters)
+        states, breaks = np.zeros((LANE, len(owner)), np.int32), np.zeros((LANE, len(owner)), bool)
+        went_in = np.full(len(owner), -1, np.int32)
+        goes_in = np.zeros(len(owner), np.int32)
+        while len(at := np.flatnonzero(went_in != goes_in)):
+            # from the state that a lane is entered in, up to where the parse meets the one known before
+            anew, state = went_in[at] < 0, goes_in[at]
+            went_in[at] = goes_in[at]
             for step in range(LANE):
-                k = live[step]
-                if not k:
+                more = length[at] > step
+                if not more.all():
+                    at, anew, state = at[more], anew[more], state[more]
+                if not len(at):
                     break
-                c = columns[step, :k]
-                to = table[state[:k] * self.letters + c]
-                stuck = to == 0
-                count[:k] += stuck
-                again = np.flatnonzero(stuck)
-                to[again] = table[self.letters + c[again]]
-                state[:k] = to
-            phrases[:, j] = np.bincount(owner, count, len(texts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(size[:, None] > 0, phrases * self._bits / size[:, None], np.inf)
+                c = columns[step, at]
+                to = self._moves(state.astype(np.int64) * self.letters + c)
+                stuck = (to == 0) | (state == 0)
+                state = np.where(stuck, root[c], to)
+                breaks[step, at] = stuck
+                apart = anew | (states[step, at] != state)
+                states[step, at] = state
+                at, anew, state = at[apart], anew[apart], state[apart]
+            follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+            goes_in[follows] = states[length[follows - 1] - 1, follows - 1]
+        return np.bincount(owner, breaks.sum(axis=0), len(codes))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text with a score from 0 to 1: the winner's share of 2 ** -4h over the
@@ -153,20 +230,34 @@ class Model:
 
 def learned_texts(docs: DataFrame, train: Column) -> dict[str, str]:
     """Text to learn from for each non-null lang among the rows where `train` holds: SAMPLE_DOCS documents
-    by hash of doc_id, SAMPLE_CHARS characters from the middle of each. The bound on this labelled sample
-    is SAMPLE_DOCS * SAMPLE_CHARS characters a language and MOST_LANGUAGES languages."""
+    by hash of doc_id, of which whole texts are taken in that order as long as they fit into LEARNED
+    characters (of a language whose drawn texts are all longer, the shortest one). With more than
+    LEARNED_IN_ALL / LEARNED languages, that bound is shared evenly, so any number of languages is learned."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    draw = F.md5(F.col("doc_id").cast("string"))
-    ranked = known.select("doc_id", "lang", draw.alias("draw")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "lang")
-    begin = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2).cast("int")
-    piece = F.substring("text", begin, F.lit(SAMPLE_CHARS))
-    rows = known.join(F.broadcast(chosen.limit(SAMPLE_DOCS * (MOST_LANGUAGES + 1))), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", piece.alias("piece")).collect()
+    draw = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    order = Window.partitionBy("lang").orderBy("draw", "n")
+    ranked = known.select("lang", draw.alias("draw"), F.length("text").alias("n")).withColumn("rank", F.row_number().over(order))
+    drawn: dict[str, list] = {}
+    for r in ranked.where(F.col("rank") <= SAMPLE_DOCS).toLocalIterator():
+        drawn.setdefault(r["lang"], []).append((r["draw"], r["n"]))
+    bound = min(LEARNED, LEARNED_IN_ALL // max(len(drawn), 1))
+    wanted: dict[str, set] = {}
+    for lang, rows in drawn.items():
+        left = bound
+        for key, n in sorted(rows):
+            if n <= left and key not in wanted.get(lang, ()):
+                wanted.setdefault(lang, set()).add(key)
+                left -= n
+        if lang not in wanted:
+            wanted[lang] = {min(rows, key=lambda r: (r[1], r[0]))[0]}
+    if not wanted:
+        return {}
+    chosen = docs.sparkSession.createDataFrame([(lang, key) for lang, keys in wanted.items() for key in keys], "lang string, draw string")
+    # at most SAMPLE_DOCS short rows a language; repeated rows of a key are one text
+    rows = known.select("lang", draw.alias("draw"), "text").join(F.broadcast(chosen), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).collect()
     out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2])):
+    for lang, _, text in sorted(rows):
         out.setdefault(lang, []).append(text)
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; raise MOST_LANGUAGES if workers have the memory")
     return {lang: " ".join(texts) for lang, texts in out.items()}
 
 
@@ -178,24 +269,30 @@ def identify(docs: DataFrame, train: Column | None = None, model_texts: dict[str
     predicted like others and not learned from; with nothing to learn from, every row is `und`. Repeated
     rows get the same result; columns named like a new one are replaced; an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     texts = model_texts if model_texts is not None else learned_texts(docs, F.lit(True) if train is None else train)
-    found = F.pandas_udf(_predictor(texts), "lang_pred string, score double")
+    made = docs.sparkSession.sparkContext.broadcast(automata(texts))
+    found = F.pandas_udf(_predictor(made, uuid.uuid4().hex), "lang_pred string, score double")
     return docs.drop("lang_pred", "score").withColumn("__found", found(F.col("text").cast("string"))).select(
         *(c for c in docs.columns if c not in ("lang_pred", "score")), "__found.lang_pred", "__found.score"
     )
 
 
-def _predictor(texts: dict[str, str]):
-    ready: list[Model] = []
+#: The model that a worker used last, by its key: tasks of one job share it, and one model at most is held.
+_held: dict[str, Model] = {}
+
 
+def _predictor(made, key: str):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not ready:
-            ready.append(Model(texts))
+        if key not in _held:
+            _held.clear()
+            _held[key] = Model(made=made.value)
+        model = _held[key]
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
             for part in groups_of_texts(batch):
-                lang, score = ready[0].predict(part)
+                lang, score = model.predict(part)
                 langs += lang
                 scores += score.tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype="object"), "score": pd.Series(scores, dtype="float64")})

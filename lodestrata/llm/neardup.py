@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
+from .common import bound_batches, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
 from .components import components
 
 UNIVERSE_BITS = 20
@@ -82,15 +82,14 @@ def _signing(k: int, bands: int, rows: int):
             out = []
             for doc_id, s in zip(pdf["doc_id"], _sets(pdf["text"], k), strict=True):
                 if not len(s):
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((doc_id, 0, None, None, None))
                     continue
                 sig = circulant(s)
                 keys = mix64((mix64(sig[: bands * rows].astype(np.uint64).reshape(bands, rows) + np.uint64(1)) * weigh).sum(axis=1, dtype=np.uint64) ^ salt)
                 low = (mix64(sig[:SKETCH].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
                 sketch = (low[::2] | (low[1::2] << 4)).view(np.int64)
-                digest = _digest(s)
-                out.append((doc_id, len(s), digest, _class_of(digest), keys.view(np.int64), sketch))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "cls", "keys", "sketch"]).astype({"doc_id": "Int64", "cls": "Int64"})
+                out.append((doc_id, len(s), _digest(s), keys.view(np.int64), sketch))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys", "sketch"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -101,15 +100,12 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _class_of(digest: bytes) -> int:
-    return int(np.frombuffer(digest[:8], np.int64)[0])
-
-
 def _packing(k: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            sets = list(_sets(pdf["text"], k))
-            yield pd.DataFrame({"cls": [_class_of(_digest(s)) for s in sets], "members": [s.tobytes() for s in sets]})
+            for part in groups_of_texts(pdf["text"]):
+                sets = list(_sets(part, k))
+                yield pd.DataFrame({"digest": [_digest(s) for s in sets], "members": [s.tobytes() for s in sets]})
 
     return run
 
@@ -142,9 +138,11 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     sizes) and beyond (what b has and a has not). Sets are rebuilt from the texts of just the documents
     that stand for a class of a pair."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = wanted.join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(_bounded(ids), "doc_id", "left_semi")
-    sets = materialize(texts.mapInPandas(_packing(k), "cls long, members binary").dropDuplicates(["cls"]))
+    wanted = materialize(wanted.join(classes, "cls").select("cls", "digest", F.col("rep").alias("doc_id")))
+    texts = docs.join(_bounded(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    packed = texts.mapInPandas(_packing(k), "digest binary, members binary").join(wanted.select("cls", "digest"), "digest")
+    sets = materialize(packed.select("cls", "members").dropDuplicates(["cls"]))
+    discard(wanted)
     overlap = F.pandas_udf(_overlaps, "shared long, beyond array<long>")
     both = (
         pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
@@ -192,7 +190,7 @@ BROADCAST_IDS = 2_000_000
 
 def _bounded(ids: DataFrame) -> DataFrame:
     ids = materialize(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # one column of longs, so rows are bytes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -208,12 +206,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     text get the same result; rows that repeat a doc_id with another text are placed by their own text. Only doc_id and
     text are read, whatever other columns there are. An empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, cls long, keys array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
     signed = materialize(docs.mapInPandas(_signing(shingle, bands, rows), schema))
     full = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes, "cls").where("doc_id = rep").dropDuplicates(["cls"])
+    # one class for each 128-bit digest; its number is drawn once, as the table is written
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
+    reps = full.join(classes, "digest").where("doc_id = rep").dropDuplicates(["cls"])
     reps = materialize(reps.select("cls", F.col("n_shingles").alias("n"), "sketch", "keys"))
     keyed = reps.select("cls", F.explode("keys").alias("key"))
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -246,10 +247,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     placed = materialize(classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     named = placed.groupBy("component").agg(F.min("rep").alias("found"))
-    named = placed.join(named, "component").select("cls", "found")
+    named = placed.join(named, "component").select("digest", "found")
     for t in (member, at, open_, tried, star, first, reps):
         discard(t)
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    # rows without words have no digest; kept out of the join, they don't meet in one task
+    brief = signed.select("doc_id", "n_shingles", "digest")
+    out = brief.where("digest IS NOT NULL").join(named, "digest", "left").select("doc_id", "n_shingles", "found")
+    out = out.union(brief.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept)

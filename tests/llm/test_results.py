@@ -236,13 +236,13 @@ def test_held_out_accuracy(spark, query, modulus, kept):
 
 def test_suffix_automaton_knows_substrings():
     text = "abracadabra"
-    code = np.array([ord(c) - 95 for c in text])
-    table = langid.suffix_automaton(code, 30)
+    state, letter, to, _ = langid.suffix_automaton(np.array([ord(c) for c in text]))
+    moves = {(a, chr(c)): b for a, c, b in zip(state.tolist(), letter.tolist(), to.tolist(), strict=True)}
 
     def accepts(s):
         state = 1
         for c in s:
-            state = table[state, ord(c) - 95]
+            state = moves.get((state, c), 0)
             if not state:
                 return False
         return True
@@ -252,6 +252,52 @@ def test_suffix_automaton_knows_substrings():
             assert accepts(s) == ("".join(s) in text)
 
 
+def plain_parse(text, learned):
+    """Phrases of a greedy parse from left to right, by looking for substrings."""
+    i = z = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in learned:
+            k += 1
+        i, z = i + k, z + 1
+    return z
+
+
+def test_cross_parsing_equals_a_plain_parse():
+    rng = np.random.default_rng(6)
+    words = {x: ["".join(rng.choice(list(a), rng.integers(2, 9))) for _ in range(900)] for x, a in (("p", "abcdefgh"), ("q", "defghijk"), ("r", "\u4e00\u4e01\u4e02\u00e4\u00f6x"))}
+    say = lambda x, n: " ".join(rng.choice(words[x], n))
+    learned = {x: say(x, 1500) for x in words}
+    # phrases longer than a lane, unknown letters, and texts over many lanes
+    texts = [say(x, n) for x in words for n in (1, 4, 80, 600)] + [learned["p"][:2000], learned["q"][300:1500] + learned["p"][:900], "\u03a9" * 500, "a", "", None, "12 3"]
+    got = langid.Model(learned).entropies(texts)
+    string = lambda t: "".join(map(chr, langid.fold(t)))
+    for i, text in enumerate(texts):
+        folded = string(text or "")
+        for j, x in enumerate(sorted(learned)):
+            want = plain_parse(folded, string(learned[x])) * np.log2(len(string(learned[x]))) / len(folded) if folded.strip() else np.inf
+            assert got[i, j] == pytest.approx(want)
+
+
+def test_any_number_of_languages_and_whole_texts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(90):
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 60)), f"l{k:02}") for i in range(6)]
+    rows.append((99_999, "zz " * 80_000, "long"))  # longer than the bound, and the only text of its language
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, train=F.col("doc_id") % 100 != 0).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found if r.doc_id % 100 == 0]) > 0.95
+    assert next(r for r in found if r.lang == "long").lang_pred == "long"
+    monkeypatch.setattr(langid, "LEARNED", 1000)
+    learned = langid.learned_texts(docs, F.lit(True))
+    whole = {(lang, text) for _, text, lang in rows}
+    pieces = learned["l00"].split(" ")
+    assert len(learned) == 91 and 500 < len(learned["l00"]) <= 1010 and learned["long"] == rows[-1][1]
+    assert {("l00", " ".join(pieces[i : i + 60])) for i in range(0, len(pieces), 60)} <= whole
+
+
 def test_lm_score_is_the_sum_of_conditionals(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     model = lmscore.learn(docs)
