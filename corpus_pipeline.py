@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over documents, each over all that the one before kept."""
+"""The corpus pipeline: five stages over documents, each over all that the one before kept.
+
+Every stage takes any rows with the columns of documents, in any partitioning. A null text is a text
+without words or letters: language ID drops it, the later stages keep it as it is. Rows with a null doc_id
+are never taken for copies or contaminated, and null sources are one source. Ties go to the smaller
+doc_id, else to a hash. Repeated rows: near-dedup keeps one of those that agree in doc_id and text; all
+other stages treat them alike. Other columns, whatever their names, come through, except that the last
+stage replaces columns named size, source_size, target, copies, taken or draws by its own. An empty
+table passes through all stages as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, langid, mixing, neardup, secrets
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import discard, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's rows are written to the shared folder and read again."""
+    """All stages over documents. Each stage's rows are written to the shared folder and read again; a table
+    goes as soon as the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
