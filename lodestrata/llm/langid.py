@@ -6,8 +6,9 @@ z * log2(m) / n estimates the cross entropy in bits a character (Ziv and Merhav,
 with the least wins. A suffix automaton of the learned text answers "can the phrase go on?" in one step.
 
 The driver builds the automata once and broadcasts their moves, (state, letter) to state, of which there
-are at most three for each learned character, whatever the alphabet; workers look them up in one hash
-table. Texts are cut into lanes so that numpy parses thousands of lanes at once, one character of each a
+are at most three for each learned character, whatever the alphabet. A worker keeps the states whose
+strings occur most often as rows of a dense table of bounded size. Most of the others have one move, so the
+most frequent move of each is looked up by state and the rest in a hash table. Texts are cut into lanes so that numpy parses thousands of lanes at once, one character of each a
 step. A lane is first parsed as if a phrase began with it; the state that the lane before ends in then
 corrects it up to the place where both parses are in the same state, so phrases run on across lanes and
 are exactly those of a parse from left to right.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ from .common import bound_batches, groups_of_texts
 
 #: Learned from per language: of up to SAMPLE_DOCS labelled documents, drawn by hash, whole texts up to
 #: LEARNED characters in all; over all languages up to LEARNED_IN_ALL characters, shared evenly.
-SAMPLE_DOCS, LEARNED, LEARNED_IN_ALL = 160, 120_000, 2_000_000
+SAMPLE_DOCS, LEARNED, LEARNED_IN_ALL = 160, 80_000, 2_000_000
 #: Characters that one step of numpy advances by are as many as there are lanes of so many characters.
 LANE = 192
+#: Moves in the dense tables of all languages together, four bytes each.
+DENSE = 1 << 22
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 
@@ -56,17 +60,18 @@ def fold(text: str) -> np.ndarray:
     return x[~(gap & np.concatenate([[False], gap[:-1]]))] if len(x) else x
 
 
-def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Moves of the suffix automaton of a text of letter codes, as arrays of state, letter and next state,
-    and the number of states. State 0 is dead, state 1 is the start, so a path from 1 exists for just the
-    substrings of the text."""
+def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Moves of the suffix automaton of a text of letter codes: arrays of state, letter and next state, by
+    state; and for each state how often its longest string occurs. State 0 is dead, state 1 is the start,
+    so a path from 1 exists for just the substrings of the text."""
     moves: list[dict[int, int]] = [{}, {}]
-    link, length, last = [0, 0], [0, 0], 1
+    link, length, times, last = [0, 0], [0, 0], [0, 0], 1
     for c in text.tolist():
         new = len(moves)
         moves.append({})
         length.append(length[last] + 1)
         link.append(1)
+        times.append(1)
         p = last
         while p and c not in moves[p]:
             moves[p][c] = new
@@ -80,72 +85,88 @@ def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
+                times.append(0)
                 while p and moves[p].get(c) == q:
                     moves[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    for state in sorted(range(2, len(moves)), key=length.__getitem__, reverse=True):
+        times[link[state]] += times[state]
     n = [len(m) for m in moves]
     letters = np.fromiter((c for m in moves for c in m), np.int32, sum(n))
     to = np.fromiter((t for m in moves for t in m.values()), np.int32, sum(n))
-    return np.repeat(np.arange(len(moves), dtype=np.int32), n), letters, to, len(moves)
+    return np.repeat(np.arange(len(moves), dtype=np.int32), n), letters, to, np.array(times, np.int32)
 
 
 class _Moves:
-    """A hash table from (state, letter) to the next state, with linear probing; 0 where there is no move."""
-
-    def __init__(self, key: np.ndarray, to: np.ndarray) -> None:
-        self._bits = max(4, int(2 * len(key)).bit_length())
+    """The moves of one automaton, made complete: where the text can't go on, a phrase ends, and the next
+    one begins with the same letter. States are numbered anew by how often their strings occur."""
+
+    def __init__(self, letters: int, dense: int, state: np.ndarray, letter: np.ndarray, to: np.ndarray, times: np.ndarray) -> None:
+        order = np.concatenate([[0, 1], 2 + np.argsort(-times[2:].astype(np.int64), kind="stable")])
+        number = np.empty(len(times), np.int64)
+        number[order] = np.arange(len(times))
+        state, letter, to, often = number[state], letter.astype(np.int64), number[to], times[to].astype(np.int64)
+        self._letters, self._rows = letters, min(len(times), max(2, dense // letters))
+        root = np.zeros(letters, np.int32)
+        root[letter[state == 1]] = to[state == 1]
+        # a row for each of the first states, and an empty one that stands for all others
+        table = np.tile(-root, (self._rows + 1, 1))
+        low = state < self._rows
+        table[state[low], letter[low]] = to[low]
+        self._table = table.ravel()
+        state, letter, to, often = state[~low], letter[~low], to[~low], often[~low]
+        order = np.lexsort((letter, -often, state))
+        state, letter, to = state[order], letter[order], to[order]
+        first = np.concatenate([[True], state[1:] != state[:-1]]) if len(state) else np.empty(0, bool)
+        self._first = np.full(len(times), -1, np.int64)
+        self._first[state[first]] = letter[first] << 32 | to[first]
+        key, to = state[~first] << 20 | letter[~first], to[~first]
+        self._bits = max(4, (2 * len(key)).bit_length())
         self._mask = (1 << self._bits) - 1
         self._key, self._to = np.full(1 << self._bits, -1, np.int64), np.zeros(1 << self._bits, np.int32)
-        slot = self._slot(key)
         while len(key):
-            slot, first = np.unique(slot, return_index=True)
-            free = self._key[slot] < 0
-            put = first[free]
-            self._key[slot[free]], self._to[slot[free]] = key[put], to[put]
-            left = np.ones(len(key), bool)
-            left[put] = False
-            key, to = key[left], to[left]
-            # go on from each key's own slot to the first one that is still free
             slot = self._slot(key)
             while (taken := self._key[slot] >= 0).any():
                 slot[taken] = (slot[taken] + 1) & self._mask
+            slot, put = np.unique(slot, return_index=True)
+            self._key[slot], self._to[slot] = key[put], to[put]
+            key, to = np.delete(key, put), np.delete(to, put)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        slot = self._slot(key)
-        found = self._key[slot]
-        out = np.where(found == key, self._to[slot], 0)
-        at = np.flatnonzero((found != key) & (found >= 0))
-        while len(at):
-            slot[at] = (slot[at] + 1) & self._mask
-            found = self._key[slot[at]]
-            hit = found == key[at]
-            out[at[hit]] = self._to[slot[at[hit]]]
-            at = at[~hit & (found >= 0)]
-        return out
+    def __call__(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase has begun. State 0 has read no phrase yet."""
+        out = self._table.take(np.minimum(state, self._rows) * np.int32(self._letters) + letter)
+        at = np.flatnonzero(state >= self._rows)
+        if len(at):
+            here, c = state[at], letter[at]
+            first = self._first.take(here)
+            hit = first >> 32 == c
+            out[at[hit]] = first[hit] & 0xFFFFFFFF
+            at, here, c = at[~hit], here[~hit], c[~hit]
+            key = here.astype(np.int64) << 20 | c
+            slot = self._slot(key)
+            while len(at):
+                found = self._key.take(slot)
+                hit = found == key
+                out[at[hit]] = self._to.take(slot[hit])
+                more = ~hit & (found >= 0)
+                at, key, slot = at[more], key[more], (slot[more] + 1) & self._mask
+        return np.abs(out), out <= 0
 
 
 def automata(texts: dict[str, str]) -> dict:
-    """What a Model is made of, in plain arrays: the languages in order, the alphabet, learned characters a
-    language, and the moves of all automata, whose states are numbered through; `starts` are their starts."""
+    """What a Model is made of, in plain arrays: the languages in order, the alphabet, and for each language
+    the number of learned characters and the moves."""
     languages = sorted(texts)
     folded = [fold(texts[x]) for x in languages]
     alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *folded]))
     alphabet = alphabet[alphabet != 32]
     code = _codes(alphabet)
-    keys, targets, starts, base = [], [], [], 0
-    for f in folded:
-        state, letter, to, n = suffix_automaton(code[f])
-        keys.append((state.astype(np.int64) + base) * (len(alphabet) + 2) + letter)
-        targets.append((to + base).astype(np.int32))
-        starts.append(base + 1)
-        base += n
-    cat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
-    return {"languages": languages, "alphabet": alphabet, "sizes": [len(f) for f in folded], "keys": cat(keys, np.int64), "to": cat(targets, np.int32), "starts": starts}
+    return {"languages": languages, "alphabet": alphabet, "sizes": [len(f) for f in folded], "moves": [suffix_automaton(code[f]) for f in folded]}
 
 
 def _codes(alphabet: np.ndarray) -> np.ndarray:
@@ -160,59 +181,35 @@ class Model:
 
     def __init__(self, texts: dict[str, str] | None = None, made: dict | None = None) -> None:
         made = automata(texts or {}) if made is None else made
-        self.languages, self._starts = made["languages"], made["starts"]
-        self.letters = len(made["alphabet"]) + 2
+        self.languages = made["languages"]
         self._code = _codes(made["alphabet"])
-        self._moves = _Moves(made["keys"], made["to"])
+        self._moves = [_Moves(len(made["alphabet"]) + 2, DENSE // len(self.languages), *m) for m in made["moves"]]
         self._bits = np.array([np.log2(max(n, 2)) for n in made["sizes"]])
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Bits a character for each text and language; infinite where a text has no letter."""
         codes = [self._code[fold(t)] if isinstance(t, str) and t else np.empty(0, np.int32) for t in texts]
         size = np.array([len(c) if (c != _SPACE).any() else 0 for c in codes], np.int64)
-        phrases = np.stack([self._phrases(codes, size, start) for start in self._starts], axis=1) if self._starts else np.zeros((len(texts), 0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(size[:, None] > 0, phrases * self._bits / size[:, None], np.inf)
-
-    def _phrases(self, codes: list[np.ndarray], size: np.ndarray, start: int) -> np.ndarray:
-        """How many phrases each text has in the language whose automaton has this start."""
         lanes = -(-size // LANE)
         owner = np.repeat(np.arange(len(codes)), lanes)
-        grid = np.zeros((len(owner), LANE), np.int32)
-        length = np.full(len(owner), LANE)
-        row = 0
+        grid, length, row = np.zeros((len(owner), LANE), np.int32), np.full(len(owner), LANE), 0
         for c, n, k in zip(codes, size, lanes, strict=True):
             if k:
                 grid[row : row + k].reshape(-1)[:n] = c[:n]
                 length[row + k - 1] = n - (k - 1) * LANE
                 row += k
-        columns = np.ascontiguousarray(grid.T)
-        root = np.zeros(self.letters, np.int32)
-        root[:] = self._moves(np.arange(self.letters, dtype=np.int64) + start * self.letters)
-        states, breaks = np.zeros((LANE, len(owner)), np.int32), np.zeros((LANE, len(owner)), bool)
-        went_in = np.full(len(owner), -1, np.int32)
-        goes_in = np.zeros(len(owner), np.int32)
-        while len(at := np.flatnonzero(went_in != goes_in)):
-            # from the state that a lane is entered in, up to where the parse meets the one known before
-            anew, state = went_in[at] < 0, goes_in[at]
-            went_in[at] = goes_in[at]
-            for step in range(LANE):
-                more = length[at] > step
-                if not more.all():
-                    at, anew, state = at[more], anew[more], state[more]
-                if not len(at):
-                    break
-                c = columns[step, at]
-                to = self._moves(state.astype(np.int64) * self.letters + c)
-                stuck = (to == 0) | (state == 0)
-                state = np.where(stuck, root[c], to)
-                breaks[step, at] = stuck
-                apart = anew | (states[step, at] != state)
-                states[step, at] = state
-                at, anew, state = at[apart], anew[apart], state[apart]
-            follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-            goes_in[follows] = states[length[follows - 1] - 1, follows - 1]
-        return np.bincount(owner, breaks.sum(axis=0), len(codes))
+        order = np.argsort(-length, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        before = np.full(len(owner), -1)
+        before[1:][owner[1:] == owner[:-1]] = place[:-1][owner[1:] == owner[:-1]]
+        columns, length, before, owner = np.ascontiguousarray(grid[order].T), length[order], before[order], owner[order]
+        del grid, codes
+        phrases = np.zeros((len(texts), len(self.languages)))
+        for j, moves in enumerate(self._moves):
+            phrases[:, j] = np.bincount(owner, _phrases(columns, length, before, moves), len(texts))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(size[:, None] > 0, phrases * self._bits / size[:, None], np.inf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text with a score from 0 to 1: the winner's share of 2 ** -4h over the
@@ -228,6 +225,38 @@ class Model:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, share, 0.0)
 
 
+def _phrases(columns: np.ndarray, length: np.ndarray, before: np.ndarray, moves: _Moves) -> np.ndarray:
+    """How many phrases begin in each lane. `columns` has a row of letters for each step, lanes stand by
+    falling length, and `before` is the lane that each one goes on from (-1: none)."""
+    states, breaks = np.zeros(columns.shape, np.int32), np.zeros(columns.shape, bool)
+    live = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than each step
+    state = np.zeros(len(length), np.int32)
+    for step, k in enumerate(live.tolist()):
+        if not k:
+            break
+        state, breaks[step, :k] = moves(state[:k], columns[step, :k])
+        states[step, :k] = state
+    follows = np.flatnonzero(before >= 0)
+    went_in = np.zeros(len(length), np.int32)
+    while True:
+        goes_in = states[length[before[follows]] - 1, before[follows]]
+        at = follows[went_in[follows] != goes_in]
+        if not len(at):
+            return breaks.sum(axis=0)
+        went_in[follows] = goes_in
+        state = went_in[at]
+        # anew from the state that the lane is entered in, up to where the parse meets the one before
+        for step in range(LANE):
+            inside = length[at] > step
+            at, state = at[inside], state[inside]
+            if not len(at):
+                break
+            state, breaks[step, at] = moves(state, columns[step, at])
+            apart = states[step, at] != state
+            states[step, at] = state
+            at, state = at[apart], state[apart]
+
+
 def learned_texts(docs: DataFrame, train: Column) -> dict[str, str]:
     """Text to learn from for each non-null lang among the rows where `train` holds: SAMPLE_DOCS documents
     by hash of doc_id, of which whole texts are taken in that order as long as they fit into LEARNED
@@ -252,7 +281,9 @@ def learned_texts(docs: DataFrame, train: Column) -> dict[str, str]:
             wanted[lang] = {min(rows, key=lambda r: (r[1], r[0]))[0]}
     if not wanted:
         return {}
-    chosen = docs.sparkSession.createDataFrame([(lang, key) for lang, keys in wanted.items() for key in keys], "lang string, draw string")
+    pairs = [(lang, key) for lang, keys in wanted.items() for key in sorted(keys)]
+    # from an Arrow table, as rows would go through Python workers
+    chosen = docs.sparkSession.createDataFrame(pa.table({"lang": [x for x, _ in pairs], "draw": [x for _, x in pairs]}))
     # at most SAMPLE_DOCS short rows a language; repeated rows of a key are one text
     rows = known.select("lang", draw.alias("draw"), "text").join(F.broadcast(chosen), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).collect()
     out: dict[str, list[str]] = {}

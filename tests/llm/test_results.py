@@ -236,7 +236,7 @@ def test_held_out_accuracy(spark, query, modulus, kept):
 
 def test_suffix_automaton_knows_substrings():
     text = "abracadabra"
-    state, letter, to, _ = langid.suffix_automaton(np.array([ord(c) for c in text]))
+    state, letter, to, times = langid.suffix_automaton(np.array([ord(c) for c in text]))
     moves = {(a, chr(c)): b for a, c, b in zip(state.tolist(), letter.tolist(), to.tolist(), strict=True)}
 
     def accepts(s):
@@ -250,6 +250,7 @@ def test_suffix_automaton_knows_substrings():
     for n in range(1, 6):
         for s in itertools.product("abcdr", repeat=n):
             assert accepts(s) == ("".join(s) in text)
+    assert times[moves[1, "a"]] == 5 and times[moves[moves[1, "a"], "b"]] == 2
 
 
 def plain_parse(text, learned):
