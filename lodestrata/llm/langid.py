@@ -303,7 +303,8 @@ def identify(docs: DataFrame, train: Column | None = None, model_texts: dict[str
     bound_batches(docs.sparkSession)
     texts = model_texts if model_texts is not None else learned_texts(docs, F.lit(True) if train is None else train)
     made = docs.sparkSession.sparkContext.broadcast(automata(texts))
-    found = F.pandas_udf(_predictor(made, uuid.uuid4().hex), "lang_pred string, score double")
+    # not to be worked out twice, once for a filter on the result and once for the result
+    found = F.pandas_udf(_predictor(made, uuid.uuid4().hex), "lang_pred string, score double").asNondeterministic()
     return docs.drop("lang_pred", "score").withColumn("__found", found(F.col("text").cast("string"))).select(
         *(c for c in docs.columns if c not in ("lang_pred", "score")), "__found.lang_pred", "__found.score"
     )
