@@ -62,6 +62,19 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+#: A written table of at most so many bytes of files may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """A table that materialize() wrote, to be broadcast if its files are small enough; else a join with it
+    shuffles. No job runs for that."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    size = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     _delete(df.sparkSession, getattr(df, "_scratch_path", None))

@@ -6,7 +6,7 @@ no node's neighbour list is ever gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -38,12 +38,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
     while True:
-        new = materialize(_small_star(_large_star(now)))
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        # counted as it is written, so that no further job reads it
+        seen = Observation()
+        counts = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("sum")
+        new = materialize(_small_star(_large_star(now)).observe(seen, *counts))
         discard(now)
         now = new
-        if tuple(seen) == mark or not seen[0]:
+        if seen.get == mark or not seen.get["n"]:
             break
-        mark = tuple(seen)
+        mark = seen.get
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, groups_of_texts, hash_words, mix64, shingle_hashes
+from .common import PUNCTUATION, bound_batches, broadcast_small, groups_of_texts, hash_words, materialize, mix64, shingle_hashes
 
 BITS, RADIUS, BLOCKS = 256, 72, 16
 #: Items that travel to the workers at once (about 2 KB each); more are taken in turns.
@@ -164,6 +164,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, l
 
     Items reach the workers in slices of about SLICE, so any number of them can be looked for.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slices = max(1, -(-items.count() // SLICE))
@@ -194,7 +195,5 @@ def _searcher(rows: list, shingle: int, least: float):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `docs` that contain no benchmark item, with all their columns. Rows with a null doc_id
     stay. Rows that share a doc_id go together."""
-    from .neardup import _bounded
-
-    bad = _bounded(find_contaminated(docs, benchmark, shingle, least).select(F.col("doc_id").alias("__bad")).distinct())
+    bad = broadcast_small(materialize(find_contaminated(docs, benchmark, shingle, least).select(F.col("doc_id").alias("__bad")).distinct()))
     return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")

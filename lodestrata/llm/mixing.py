@@ -17,13 +17,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialize
+from .common import WORD, broadcast_small, discard, materialize
 
 WEIGHTS = (5, 2, 1)
 #: Hash bits that order documents (13 hex digits), and the bits that each level of blocks takes of them.
 ORDER_BITS, LEVEL_BITS = 52, 12
-#: Source tables up to this many rows are broadcast (about 300 bytes each); longer ones are shuffled.
-BROADCAST_SOURCES = 10_000
 #: Documents that may be added to bring a source's last round nearer to its target.
 FILLS = 4
 
@@ -121,7 +119,7 @@ def _cut(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """
     wanted = materialize(sources.where("rest > 0").select(F.col("source").alias("__s"), "rest"), partitions=1)
     same = F.col("source").eqNullSafe(F.col("__s"))
-    docs = sized.join(_small(wanted), same).select("source", "doc_id", "size", "h", "rest", F.lit(0).cast("long").alias("base"))
+    docs = sized.join(broadcast_small(wanted), same).select("source", "doc_id", "size", "h", "rest", F.lit(0).cast("long").alias("base"))
     for level in (1, 2):
         shift = ORDER_BITS - level * LEVEL_BITS
         block = docs.withColumn("block", F.shiftright("h", shift))
@@ -130,18 +128,18 @@ def _cut(sized: DataFrame, sources: DataFrame) -> DataFrame:
         sums = sums.withColumn("upto", upto).where("upto > rest")
         stop = sums.groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("words")).alias("from"))).alias("at"))
         stop = materialize(stop.select(F.col("source").alias("__s"), F.col("at.block").alias("__b"), F.col("at.from").alias("__f")), partitions=1)
-        docs = block.join(_small(stop), same & (F.col("block") == F.col("__b"))).withColumn("base", F.col("__f")).drop("__s", "__b", "__f", "block")
+        docs = block.join(broadcast_small(stop), same & (F.col("block") == F.col("__b"))).withColumn("base", F.col("__f")).drop("__s", "__b", "__f", "block")
     order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = docs.withColumn("upto", F.sum("size").over(order) + F.col("base")).where("upto <= rest")
     last = inside.groupBy("source").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"), F.max("upto").alias("upto"))
     ends = stop.join(wanted.withColumnRenamed("__s", "__w"), F.col("__s").eqNullSafe(F.col("__w")))
     ends = ends.join(last, F.col("__s").eqNullSafe(F.col("source")), "left")
     gap = F.col("rest") - F.coalesce("upto", "__f")
-    ends = materialize(ends.select("__s", F.shiftleft("__b", shift).alias("bar"), "last", gap.alias("gap")), partitions=1)
-    ends = ends.withColumn("fill", F.array().cast("array<struct<h:bigint,doc_id:bigint,size:bigint>>"))
+    none = F.array().cast("array<struct<h:bigint,doc_id:bigint,size:bigint>>")
+    ends = materialize(ends.select("__s", F.shiftleft("__b", shift).alias("bar"), "last", gap.alias("gap"), none.alias("fill")), partitions=1)
     for i in range(FILLS):
         off = F.abs(F.col("gap") - F.col("size"))
-        others = sized.join(_small(ends), same).where(~_in_part("h", "size")).where("size > 0").where(off < F.abs("gap"))
+        others = sized.join(broadcast_small(ends), same).where(~_in_part("h", "size")).where("size > 0").where(off < F.abs("gap"))
         if i < FILLS - 1:
             others = others.where("size <= gap")
         best = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "size")).alias("f"))
@@ -157,22 +155,27 @@ def _in_part(h: str, size: str) -> Column:
     return reduce(or_, (F.coalesce(x, F.lit(False)) for x in within))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of sources if its rows are few enough; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
+def n_words(text: Column) -> Column:
+    """The size of a text: its number of words, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shards: int = 16, seed: int = 8) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shards: int = 16, seed: int = 8, size: Column | None = None) -> DataFrame:
     """Every row of `docs` with its size, source_size, target, copies, taken and draws.
 
-    Size is the number of words (null text: 0). `copies` says how often the mix takes the document, from
-    0 to `most`; `taken` is copies times size. `draws` has one (shard, place) per copy: the shard that it
-    goes to and its place there (sort by it, then by doc_id). The same rows give the same result, in any
-    partitioning. Documents are ordered by a hash of doc_id; ties and repeated rows follow doc_id and size,
-    and rows alike in those are taken alike. A null source is a source of its own; a source without words
-    has target 0. Columns of `docs` with one of the new names are replaced. Empty tables give empty ones.
+    Size is the number of words of the column text (null: 0), unless `size` gives it. `draws` has one
+    (shard, place) per copy that the mix takes of the document, from 0 to `most`: the shard that the copy
+    is dealt to and its place there (sort by it, then by doc_id). `copies` is their number, and `taken` is
+    copies times size. The same rows give the same result, in any partitioning. Documents are ordered by
+    a hash of doc_id; ties and repeated rows follow doc_id and size, and rows alike in those are taken
+    alike. A null source is a source of its own; a source without words has target 0. Columns of `docs`
+    with one of the new names are replaced. Empty tables give empty ones.
+
+    A source's quota counts its blocks, once for each whole round, then those that the part round begins,
+    then one block for the documents that fill the part round up. The splitting tree deals these quotas to
+    the shards, so every copy lies in just one shard's run of blocks.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size = n_words(F.col("text")) if size is None else size
     h = _draw(F.lit(f"mix:{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = materialize(docs.select("source", "doc_id", size.alias("size"), h.alias("h")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -182,37 +185,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shar
     cut = materialize(_cut(sized, sources), partitions=1)
 
     top = ORDER_BITS - LEVEL_BITS
-    blocks = sized.groupBy("source", F.shiftright("h", top).alias("block")).agg(F.sum("size").alias("words"))
-    blocks = blocks.join(_small(cut), F.col("source").eqNullSafe(F.col("__s")), "left")
+    blocks = sized.select("source", F.shiftright("h", top).alias("block")).distinct().join(broadcast_small(cut), F.col("source").eqNullSafe(F.col("__s")), "left")
     part = F.coalesce(F.col("block") <= F.shiftright(F.coalesce(F.col("last.h"), F.col("bar") - 1), top), F.lit(False))
-    per = blocks.groupBy("source").agg(F.max("block").alias("top"), F.sort_array(F.collect_list("block")).alias("blocks"), F.count_if(part).alias("begun"))
-    plan = sources.alias("s").join(per.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
-        "s.source", "rank", "source_size", "target", "rounds", "blocks", (F.col("rounds") * F.size("blocks") + F.when(F.col("rest") > 0, F.col("begun")).otherwise(0)).alias("quota")
-    )
-    plan = materialize(plan, partitions=1)
+    per = blocks.groupBy("source").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.count_if(part).alias("begun"))
+    plan = sources.alias("s").join(per.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.__s")), "left")
+    fills = F.coalesce((F.size("fill") > 0).cast("long"), F.lit(0))
+    quota = F.col("rounds") * F.size("blocks") + F.when(F.col("rest") > 0, F.col("begun") + fills).otherwise(0)
+    plan = materialize(plan.select("s.source", "rank", "source_size", "target", "rounds", "blocks", "begun", "bar", "last", "fill", quota.alias("quota")), partitions=1)
     quotas = plan.agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("all")).select(F.transform("all", lambda x: x["quota"]).alias("quotas"))
     leaves = split_tree(quotas, shards, seed).select("shard", F.posexplode("quotas").alias("rank", "quota"))
-    ends = leaves.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("leaf"))
-    ends = ends.select("rank", F.transform("leaf", lambda x: x["quota"]).alias("share"))
+    share = leaves.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "quota"))), lambda x: x["quota"]).alias("share"))
     running = F.transform("share", lambda q, i: F.aggregate(F.slice("share", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, b: a + b))
-    ends = ends.select("rank", running.alias("ends"))
-    plan = plan.join(ends, "rank").alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.__s")), "left")
-    plan = materialize(plan.select(F.col("p.source").alias("__source"), F.col("source_size").alias("__all"), F.col("target").alias("__target"), "rounds", "blocks", "ends", "bar", "last", "fill"), partitions=1)
+    plan = plan.join(share.select("rank", running.alias("ends")), "rank")
+    plan = materialize(plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__all"), F.col("target").alias("__target"), "rounds", "blocks", "begun", "bar", "last", "fill", "ends"), partitions=1)
 
     new = ("size", "source_size", "target", "copies", "taken", "draws")
     kept = [c for c in docs.columns if c not in new]
     wide = docs.select(*kept, size.alias("__size"), h.alias("__h"))
-    wide = wide.join(_small(plan), F.col("source").eqNullSafe(F.col("__source")))
-    wide = wide.withColumn("copies", F.least(F.col("rounds") + _in_part("__h", "__size").cast("int"), F.lit(most)).cast("int"))
+    wide = wide.join(broadcast_small(plan), F.col("source").eqNullSafe(F.col("__source")))
+    wide = wide.withColumn("__times", (F.col("rounds") + _in_part("__h", "__size").cast("int")).cast("int"))
+    fills_up = F.coalesce(F.array_contains("fill", F.struct(F.col("__h").alias("h"), "doc_id", F.col("__size").alias("size"))), F.lit(False))
     nth = F.array_position("blocks", F.shiftright("__h", top)) - 1
 
     def draw(e: Column) -> Column:
-        at = e * F.size("blocks") + nth
-        shard = F.size(F.filter("ends", lambda x: x <= at))
+        at = e * F.size("blocks") + F.when((e == F.col("rounds")) & fills_up, F.col("begun")).otherwise(nth)
         place = _draw(F.lit(f"place:{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), e.cast("string"))
-        return F.struct(F.least(shard, F.lit(shards - 1)).alias("shard"), place.alias("place"))
+        return F.struct(F.size(F.filter("ends", lambda x: x <= at)).alias("shard"), place.alias("place"))
 
-    draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), draw)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
-    for t in (sources, cut):
+    dealt = F.filter(F.transform(F.sequence(F.lit(0), F.col("__times") - 1), draw), lambda d: d["shard"] < shards)
+    wide = wide.withColumn("draws", F.when(F.col("__times") > 0, dealt).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")))
+    for t in (sources, cut, sized):
         discard(t)
-    return wide.select(*kept, F.col("__size").alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("__size")).cast("long").alias("taken"), draws.alias("draws"))
+    copies = F.size("draws")
+    return wide.select(*kept, F.col("__size").alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).cast("long").alias("taken"), "draws")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
+from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
 from .components import components
 
 UNIVERSE_BITS = 20
@@ -139,7 +139,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     that stand for a class of a pair."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(classes, "cls").select("cls", "digest", F.col("rep").alias("doc_id")))
-    texts = docs.join(_bounded(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = docs.join(broadcast_small(materialize(wanted.select("doc_id").distinct())), "doc_id", "left_semi")
     packed = texts.mapInPandas(_packing(k), "digest binary, members binary").join(wanted.select("cls", "digest"), "digest")
     sets = materialize(packed.select("cls", "members").dropDuplicates(["cls"]))
     discard(wanted)
@@ -184,15 +184,6 @@ def _leftovers(star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return materialize(found.union(by_size.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b"))).distinct())
 
 
-#: Ids that may be broadcast: 16 MB as longs. Above that the same join shuffles.
-BROADCAST_IDS = 2_000_000
-
-
-def _bounded(ids: DataFrame) -> DataFrame:
-    ids = materialize(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # one column of longs, so rows are bytes
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs` with doc_id, n_shingles, component_id and kept.
 
@@ -266,9 +257,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     of them does."""
     found = materialize(near_duplicates(docs, shingle, percent).select("doc_id", "kept"))
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    gone = _bounded(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")))
+    gone = broadcast_small(materialize(ids.where("NOT kept").select(F.col("doc_id").alias("__gone"))))
     # only rows whose doc_id repeats are compared by text, so other texts aren't shuffled
-    again = _bounded(ids.where("n > 1").select(F.col("doc_id").alias("__again")))
+    again = broadcast_small(materialize(ids.where("n > 1").select(F.col("doc_id").alias("__again"))))
     stay = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     same = docs["doc_id"] == again["__again"]
     return stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

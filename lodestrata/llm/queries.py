@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, secrets, toxicity, urls
+from .common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +104,9 @@ FROM n LEFT JOIN reach ON reach.a = n.doc_id"""
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(materialize(docs), size=F.col("size"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 _OP8_SQL = r"""

@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, groups_of_texts, hash_word_starts, hash_words
-from .neardup import _bounded
+from .common import PUNCTUATION, bound_batches, broadcast_small, groups_of_texts, hash_word_starts, hash_words, materialize
 
 #: Terms that name groups of people: fixed values.
 IDENTITY = (
@@ -160,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     for label, most in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER)):
         some = known.where(F.col("toxic") == label).orderBy(draw).limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    rows = docs.select("doc_id", "text").join(_bounded(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(broadcast_small(materialize(chosen)), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     toxic = [r[2] for r in rows]
     share = {t: totals[t] / max(toxic.count(t), 1) for t in totals}
@@ -178,6 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.Series(np.concatenate([model.scores(part) for part in groups_of_texts(batch)] or [np.empty(0)]), dtype="float64")
 
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*kept, F.pandas_udf(scored, "double")(F.col("text").cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -199,6 +199,24 @@ def test_mixing_result(spark):
     assert ((g.t - g.k).abs() <= np.maximum(0.1 * g.t, got[0].groupby("source")["size"].max() / 2)).all() and (got[0].taken <= 3 * got[0]["size"]).all()
 
 
+def test_mixing_deals_every_copy_by_the_tree(spark):
+    """On the whole table: copies a shard are as many as the tree gives it, up to the documents of a block."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    got = mixing.mix(docs, shards=8).select("doc_id", "source", "size", "copies", "taken", "draws").toPandas()
+    assert (got.copies == got.draws.map(len)).all() and (got.taken == got.copies * got["size"]).all()
+    dealt = [(s, d["shard"]) for s, row in zip(got.source, got.draws, strict=True) for d in row]
+    per = Counter(shard for _, shard in dealt)
+    assert set(per) == set(range(8)) and max(per.values()) - min(per.values()) <= 0.15 * len(dealt) / 8
+    assert Counter(s for s, _ in dealt) == Counter({s: int(n) for s, n in got.groupby("source").copies.sum().items() if n})
+    one = spark.createDataFrame([(i, "w " * (i % 7), "only") for i in range(300)], "doc_id long, text string, source string")
+    same = mixing.mix(one, shards=4).toPandas()  # one source takes all of itself, once
+    assert (same.copies == 1).all()
+    per = Counter(d["shard"] for row in same.draws for d in row)
+    assert max(per.values()) - min(per.values()) <= 12
+    nowhere = mixing.mix(one.withColumn("source", F.lit(None).cast("string"))).toPandas()
+    assert nowhere.copies.tolist() == same.copies.tolist()
+
+
 def test_quality_statistics(spark):
     got = {r.doc_id: r for r in queries.op10_quality_rules(spark, SF).collect()}
     for d, text in zip(*(read("documents")[c] for c in ("doc_id", "text")), strict=True):
