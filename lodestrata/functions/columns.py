@@ -118,8 +118,18 @@ def contains_center(outer: Column, inner: Column) -> Column:
 # ---- scores --------------------------------------------------------------------------------------
 
 
-def resolution_bonus(width: Column, height: Column, reference_mp: float = 12.0) -> Column:
-    return F.least(F.lit(1.0), width * height / 1e6 / reference_mp)
+#: Megapixels that earn the full bonus, and the variance that makes a sharpness of one half: fixed values.
+FULL_MEGAPIXELS, HALF_SHARP = 12.0, 500.0
+
+
+def resolution_bonus(width: Column, height: Column, reference_mp: float = FULL_MEGAPIXELS) -> Column:
+    """From 0 to 1 by megapixels; 0 for a picture of unknown size."""
+    return F.when((width > 0) & (height > 0), F.least(F.lit(1.0), width.cast("double") * height / 1e6 / reference_mp)).otherwise(0.0)
+
+
+def normalize_sharpness(variance: Column, reference: float = HALF_SHARP) -> Column:
+    """From 0 to 1, v / (v + reference); 0 without a positive variance."""
+    return F.when(variance > 0, variance / (variance + reference)).otherwise(0.0)
 
 
 def keep_score(quality: Column, face: Column, bonus: Column) -> Column:

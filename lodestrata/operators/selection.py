@@ -102,15 +102,31 @@ def protect_variants(members: DataFrame, group: str, item: str, score: str, kept
     return rest.where("apart").groupBy(group).agg(F.max_by(item, F.struct("s", -F.col(item))).alias(item))
 
 
-def dominance_penalty(members: DataFrame, group: str, item: str, score: str, parts: str, vector: str, least: float = 0.9, penalty: float = 0.08) -> DataFrame:
-    """Scores less a penalty where another member of the group is alike (cosine of `least` or more) and is
-    no worse in any local quality and better in one. (group, item, adjusted)."""
-    from ..functions.columns import cosine
-
-    x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col(f"x.{item}") != F.col(f"y.{item}")))
-    no_worse = F.forall(F.zip_with(f"y.{parts}", f"x.{parts}", lambda b, a: b >= a), lambda t: t)
-    better = F.exists(F.zip_with(f"y.{parts}", f"x.{parts}", lambda b, a: b > a), lambda t: t)
-    beaten = pairs.where((cosine(F.col(f"x.{vector}"), F.col(f"y.{vector}")) >= least) & no_worse & better).select(F.col(f"x.{item}").alias(item)).distinct()
-    out = members.join(beaten.withColumn("__b", F.lit(penalty)), item, "left")
-    return out.select(group, item, (F.col(score) - F.coalesce("__b", F.lit(0.0))).alias("adjusted"))
+#: Least overlap of matched regions and least gains in the two local qualities: fixed values.
+MATCHED_IOU, MUSIQ_GAIN, CLIPIQA_GAIN = 0.4, 1.0, 0.05
+
+
+def dominance_penalty(members: DataFrame, regions: DataFrame, group: str, item: str, score: str, least: float = 0.9, penalty: float = 0.08) -> DataFrame:
+    """Scores less a penalty (once, not below 0) where another member of the group shows the same region
+    better: (group, item, adjusted).
+
+    `regions` has group, item, kind, class_id, box (x0, y0, x1, y1 from 0 to 1), vector (of length 1), musiq
+    and clipiqa; one row per item, kind and class. Regions match if kind and class agree, boxes overlap by
+    MATCHED_IOU or more and vectors are alike; a face is compared by the subject region around it, which
+    must match as well. The better one must gain in both qualities."""
+    from ..functions.columns import dot, iou
+
+    x, y = regions.alias("x"), regions.alias("y")
+    same = (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.class_id") == F.col("y.class_id")) & (F.col(f"x.{item}") != F.col(f"y.{item}"))
+    gains = (F.col("y.musiq") - F.col("x.musiq") >= MUSIQ_GAIN) & (F.col("y.clipiqa") - F.col("x.clipiqa") >= CLIPIQA_GAIN)
+    overlap = iou(F.col("x.box"), F.col("y.box")) >= MATCHED_IOU
+    names = [F.col(f"x.{group}").alias("__g"), F.col(f"x.{item}").alias("__x"), F.col(f"y.{item}").alias("__y"), F.col("x.class_id").alias("__c")]
+    alike = dot(F.col("x.vector"), F.col("y.vector")) >= least
+    better = x.join(y, same & (F.col("x.kind") == F.col("y.kind")) & gains & overlap)
+    other = better.where((F.col("x.kind") != "face") & alike).select(*names)
+    subject = lambda side: (F.col(f"{side}.kind") == "subject")
+    parents = x.join(y, same & subject("x") & subject("y") & overlap & alike).select(*names)
+    faces = better.where(F.col("x.kind") == "face").select(*names).join(parents, ["__g", "__x", "__y", "__c"], "left_semi")
+    beaten = other.union(faces).select(F.col("__g").alias(group), F.col("__x").alias(item)).distinct()
+    out = members.join(beaten.withColumn("__b", F.lit(True)), [group, item], "left")
+    return out.select(group, item, F.when(F.col("__b"), F.greatest(F.lit(0.0), F.col(score) - penalty)).otherwise(F.col(score)).alias("adjusted"))

@@ -17,7 +17,7 @@ from .registry import query
 
 _M = """SELECT event_id, user_id, event_id % 13 = 0 AS missing, event_id % 11 = 0 AS same_sha, event_id % 3 <> 0 AS trusted,
     ['burst', 'sha_exact', 'phash_near', 'similar_scene'][1 + event_id % 4] AS group_type, event_id % 5 = 0 AS face_conflict,
-    ['ok', 'maybe', 'reject'][1 + event_id % 3] AS exposure, ['ok', 'reject'][1 + event_id % 2] AS keeper_exposure, value / 100 AS margin FROM events"""
+    ['ok', 'maybe', 'reject'][1 + event_id % 3] AS exposure, ['dark', 'burnt'][1 + user_id % 2] AS exposure_reason, ['ok', 'reject'][1 + event_id % 2] AS keeper_exposure, value / 100 AS margin FROM events"""
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -26,15 +26,15 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(
         "event_id", "user_id", (i % 13 == 0).alias("missing"), (i % 11 == 0).alias("same_sha"), (i % 3 != 0).alias("trusted"),
         nth(4, "burst", "sha_exact", "phash_near", "similar_scene").alias("group_type"), (i % 5 == 0).alias("face_conflict"),
-        nth(3, "ok", "maybe", "reject").alias("exposure"), nth(2, "ok", "reject").alias("keeper_exposure"), (F.col("value") / 100).alias("margin"),
+        nth(3, "ok", "maybe", "reject").alias("exposure"), F.when(F.col("user_id") % 2 == 0, "dark").otherwise("burnt").alias("exposure_reason"), nth(2, "ok", "reject").alias("keeper_exposure"), (F.col("value") / 100).alias("margin"),
     )
 
 
 _REASON = """CASE WHEN missing THEN 'FEATURE_MISSING' WHEN same_sha THEN 'BYTE_IDENTICAL'
     WHEN NOT trusted THEN CASE group_type WHEN 'phash_near' THEN 'PHASH_NEAR_UNTRUSTED' WHEN 'similar_scene' THEN 'SIMILAR_SCENE_UNTRUSTED' ELSE 'GROUP_IMPURE' END
     WHEN group_type = 'sha_exact' THEN 'SHA_GROUP_NO_MATCH' WHEN group_type = 'phash_near' THEN 'PHASH_NEAR_DUP_ONLY' WHEN group_type = 'similar_scene' THEN 'SUBJECTIVE_ONLY: similar_scene'
-    WHEN face_conflict THEN 'FACE_COUNT_MISMATCH' WHEN exposure = 'reject' AND keeper_exposure <> 'reject' THEN 'EXPOSURE_REJECT' WHEN margin < 0.08 THEN 'LOW_MARGIN'
-    WHEN exposure = 'maybe' THEN 'EXPOSURE_BORDERLINE' ELSE 'RELATIVE_ONLY' END"""
+    WHEN face_conflict THEN 'FACE_COUNT_MISMATCH' WHEN exposure = 'reject' AND keeper_exposure <> 'reject' THEN 'EXPOSURE_UNCALIBRATED_BALANCED: ' || exposure_reason WHEN margin < 0.08 THEN 'LOW_MARGIN'
+    WHEN exposure = 'maybe' THEN 'EXPOSURE_BORDERLINE: ' || exposure_reason ELSE 'RELATIVE_ONLY' END"""
 _DECIDED = f"SELECT *, CASE WHEN missing THEN 'UNKNOWN' WHEN same_sha THEN 'AUTO_REMOVE' ELSE 'MAYBE' END AS decision, {_REASON} AS reason FROM ({_M})"
 
 
@@ -79,13 +79,19 @@ def dc2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dc5_event_policy",
-    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN least(g, 4) ELSE g END AS max_group, CASE WHEN c_acctbal < 0 THEN greatest(k, 2) ELSE k END AS keepers, c_acctbal < 0 OR q AS identity_required
-    FROM (SELECT *, CASE c_mktsegment WHEN 'MACHINERY' THEN 20 WHEN 'BUILDING' THEN 8 ELSE 12 END AS g, CASE c_mktsegment WHEN 'MACHINERY' THEN 2 WHEN 'BUILDING' THEN 2 ELSE 1 END AS k, c_mktsegment = 'BUILDING' AS q FROM customer)""",
+    """WITH e AS (SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'stage' WHEN 'BUILDING' THEN 'pet' WHEN 'AUTOMOBILE' THEN 'convention' WHEN 'HOUSEHOLD' THEN 'design_reference' ELSE c_mktsegment END AS kind,
+      CASE WHEN c_custkey % 3 = 0 THEN 'no_vlm' ELSE 'full' END AS capability, c_acctbal / 8000 AS confidence, c_custkey % 5 = 0 AS mixed, c_custkey % 7 = 0 AS sensitive FROM customer),
+    v AS (SELECT *, kind IN ('stage', 'pet', 'convention', 'design_reference') AND confidence BETWEEN 0 AND 1 AS valid FROM e),
+    p AS (SELECT *, CASE WHEN valid THEN kind ELSE 'general' END AS k, NOT valid OR capability <> 'full' OR confidence < 0.65 OR mixed AS weak FROM v),
+    l AS (SELECT *, CASE k WHEN 'stage' THEN 5 WHEN 'pet' THEN 6 WHEN 'design_reference' THEN 4 ELSE 8 END AS g, CASE WHEN k IN ('general', 'convention') THEN 1 ELSE 2 END AS n FROM p)
+    SELECT c_custkey, CASE WHEN weak THEN least(g, 4) ELSE g END AS max_group, CASE WHEN weak THEN greatest(n, 2) ELSE n END AS keepers, weak OR sensitive OR k IN ('general', 'convention') AS identity_required FROM l""",
 )
 def dc5(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("c_mktsegment") == "MACHINERY", "sports").when(F.col("c_mktsegment") == "BUILDING", "portrait").otherwise("other")
-    e = table(spark, d, "customer").select("c_custkey", kind.alias("kind"), (F.col("c_acctbal") < 0).alias("bad"))
-    return D.compile_policy(e, "kind", "bad").select("c_custkey", "max_group", "keepers", "identity_required")
+    kinds = {"MACHINERY": "stage", "BUILDING": "pet", "AUTOMOBILE": "convention", "HOUSEHOLD": "design_reference"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), F.col("c_mktsegment")), F.col("c_mktsegment"))
+    nth = lambda n: F.col("c_custkey") % n == 0
+    e = table(spark, d, "customer").select("c_custkey", kind.alias("kind"), F.when(nth(3), "no_vlm").otherwise("full").alias("capability"), (F.col("c_acctbal") / 8000).alias("confidence"), nth(5).alias("mixed"), nth(7).alias("sensitive"))
+    return D.compile_policy(e, "kind", "capability", "confidence", "mixed", "sensitive").select("c_custkey", "max_group", "keepers", "identity_required")
 
 
 @query(
@@ -100,7 +106,7 @@ def dc6(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dc8_family_votes",
-    """WITH v AS (SELECT user_id, event_id % 7 AS family, CASE WHEN value > 60 THEN 1 WHEN value < 40 THEN -1 ELSE 0 END AS s FROM events WHERE event_id % 40 < 9),
+    """WITH v AS (SELECT user_id, event_id % 7 AS family, CASE WHEN value > 60 THEN 1 WHEN value < 40 THEN -1 ELSE 0 END AS s FROM events),
     f AS (SELECT user_id, family, min(s) AS lo, max(s) AS hi FROM v WHERE s <> 0 GROUP BY user_id, family),
     g AS (SELECT user_id, coalesce(sum(CASE WHEN lo = hi THEN lo ELSE 0 END), 0)::BIGINT AS balance, count(*) FILTER (WHERE lo = hi) AS votes, count(*) FILTER (WHERE lo <> hi) AS conflicts FROM f GROUP BY user_id)
     SELECT user_id, votes, conflicts, balance, CASE WHEN votes >= 3 AND abs(balance) >= 2 THEN sign(balance)::INTEGER END AS side,
@@ -108,14 +114,22 @@ def dc6(spark: SparkSession, d: str) -> DataFrame:
 )
 def dc8(spark: SparkSession, d: str) -> DataFrame:
     sign = F.when(F.col("value") > 60, 1).when(F.col("value") < 40, -1).otherwise(0)
-    v = table(spark, d, "events").where("event_id % 40 < 9").select("user_id", (F.col("event_id") % 7).alias("family"), sign.alias("s"))
+    v = table(spark, d, "events").select("user_id", (F.col("event_id") % 7).alias("family"), sign.alias("s"))
     return D.pair_verdict(v, "user_id", "family", "s", least=3, margin=2)
 
 
-@query("dc9_eye_states", "SELECT event_id, CASE WHEN user_id % 30 < 24 AND user_id % 30 < 5 THEN 'unknown' WHEN value / 100 < 0.2 THEN 'closed' WHEN value / 100 < 0.35 THEN 'maybe' ELSE 'open' END AS eyes FROM events")
+@query(
+    "dc9_eye_states",
+    """WITH f AS (SELECT event_id, user_id, CASE WHEN event_id % 17 <> 0 THEN value / 100 END AS l, (value * 7 % 100) / 100 AS r, 80 + event_id % 60 AS w, 20 + event_id % 30 AS iod, (event_id % 10) / 10 AS smile, (event_id % 9) / 9 AS squint FROM events),
+    s AS (SELECT *, CASE WHEN l IS NULL OR r IS NULL THEN 'UNKNOWN' WHEN w < 96 OR iod < 24 THEN 'UNKNOWN' WHEN l <= 0.15 AND r <= 0.15 THEN 'OPEN'
+      WHEN l >= 0.5 AND r >= 0.5 AND abs(l - r) <= 0.25 THEN CASE WHEN smile >= 0.45 AND squint >= 0.45 THEN 'MAYBE' ELSE 'CLOSED' END ELSE 'MAYBE' END AS eyes FROM f)
+    SELECT event_id, eyes, CASE WHEN l IS NULL OR r IS NULL THEN 'MISSING_EVIDENCE' WHEN w < 96 OR iod < 24 THEN 'SMALL_FACE' WHEN eyes = 'OPEN' THEN 'BOTH_EYES_OPEN' WHEN eyes = 'CLOSED' THEN 'BOTH_EYES_CLOSED'
+      WHEN l >= 0.5 AND r >= 0.5 AND abs(l - r) <= 0.25 THEN 'SMILE_SQUINT' WHEN (l >= 0.5) <> (r >= 0.5) OR abs(l - r) > 0.25 THEN 'WINK_OR_ASYMMETRIC' ELSE 'BLINK_GRAY_ZONE' END AS reason FROM s""",
+)
 def dc9(spark: SparkSession, d: str) -> DataFrame:
-    size = F.when(F.col("user_id") % 30 < 5, 10).otherwise(40)
-    return table(spark, d, "events").select("event_id", D.eye_state(F.col("value") / 100, F.lit(0.5), size).alias("eyes"))
+    i, v = F.col("event_id"), F.col("value")
+    state, reason = D.eye_state(F.when(i % 17 != 0, v / 100), (v * 7 % 100) / 100, 80 + i % 60, 20 + i % 30, (i % 10) / 10, (i % 9) / 9)
+    return table(spark, d, "events").select("event_id", state.alias("eyes"), reason.alias("reason"))
 
 
 @query(
@@ -127,13 +141,23 @@ def dc10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", D.ordered_gates(gates).alias("gate"))
 
 
+#: Notes that show every rule, and what part keys make of them.
+_NOTES = ("构图更完整", "缩略图有点糊看不清", "主体完整但无法判断", "动作不确定", "留这张？", "nice light", "")
+
+
 @query(
     "dc16_note_rules",
-    """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)blur|soft|shak') THEN 'sharpness' WHEN regexp_matches(p_name, '(?i)eye|blink') THEN 'eyes' WHEN regexp_matches(p_name, '(?i)dark|bright|expos') THEN 'exposure'
-    WHEN regexp_matches(p_name, '(?i)crop|frame|cut off') THEN 'framing' WHEN regexp_matches(p_name, '(?i)dup|same') THEN 'duplicate' WHEN trim(p_name) = '' THEN 'empty' ELSE 'other' END AS kind FROM part""",
+    f"""WITH n AS (SELECT p_partkey, ({list(_NOTES)})[1 + p_partkey % {len(_NOTES)}] || ' ' || p_name AS note, CASE WHEN p_partkey % 11 = 0 THEN 'open' ELSE 'reviewed' END AS status, p_partkey % 13 <> 0 AS phased FROM part),
+    m AS (SELECT *, regexp_matches(note, '{D.NOTE_ABSTAIN}') AS a, regexp_matches(note, '{D.NOTE_ASSESSED}') AS b FROM n)
+    SELECT p_partkey, CASE WHEN status <> 'reviewed' OR NOT phased THEN 'needs_review_nonreviewed' WHEN regexp_matches(note, '[?？]') THEN 'needs_review_question'
+    WHEN regexp_matches(note, '{D.NOTE_PHASE_UNCERTAIN}') THEN 'needs_review_phase_uncertain' WHEN a AND b THEN 'needs_review_conflicting_quality' WHEN a THEN 'quality_abstain_explicit'
+    WHEN b THEN 'assessed_explicit' ELSE 'needs_review_no_explicit_quality_rule' END AS kind FROM m""",
 )
 def dc16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", D.note_rule(F.col("p_name")).alias("kind"))
+    k = F.col("p_partkey")
+    note = F.concat(F.element_at(F.array(*map(F.lit, _NOTES)), (k % len(_NOTES) + 1).cast("int")), F.lit(" "), "p_name")
+    phases = F.when(k % 13 != 0, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", D.note_rule(note, F.when(k % 11 == 0, "open").otherwise("reviewed"), phases).alias("kind"))
 
 
 @query("dc19_uniform_packets", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1 AND count(*) > 1")
@@ -144,19 +168,26 @@ def dc19(spark: SparkSession, d: str) -> DataFrame:
 
 _G = """SELECT l_orderkey AS g, count(*) AS members, epoch(max(l_shipdate))::BIGINT - epoch(min(l_shipdate))::BIGINT AS span, 1 - max(l_tax) AS pair, 1 - min(l_tax) AS adj,
     count(DISTINCT l_returnflag) AS faces, min(l_discount) AS margin, count(*) FILTER (WHERE l_quantity < 2) AS missing, count(DISTINCT l_linestatus) AS keepers, 1 AS phases FROM lineitem GROUP BY l_orderkey"""
-_W = "CASE WHEN members >= 5 THEN 0.15 ELSE 0 END + CASE WHEN span > 8 THEN 0.15 ELSE 0 END + CASE WHEN pair < 0.94 THEN 0.20 ELSE 0 END + CASE WHEN adj < 0.95 THEN 0.15 ELSE 0 END + CASE WHEN faces > 1 THEN 0.15 ELSE 0 END + CASE WHEN margin < 0.06 THEN 0.20 ELSE 0 END + CASE WHEN missing > 0 THEN 0.10 ELSE 0 END + CASE WHEN keepers > 1 THEN 0.10 ELSE 0 END"
+_W = """CASE WHEN g % 4 <> 0 THEN 0.04 ELSE 0 END + CASE WHEN members >= 5 THEN 0.08 ELSE 0 END + CASE WHEN span > 8 THEN 0.08 ELSE 0 END + CASE WHEN pair < 0.94 THEN 0.13 ELSE 0 END + CASE WHEN adj < 0.95 THEN 0.13 ELSE 0 END
+    + CASE WHEN faces > 1 THEN 0.10 ELSE 0 END + CASE WHEN g % 5 = 0 THEN 0.12 ELSE 0 END + CASE WHEN margin < 0.06 THEN 0.12 ELSE 0 END + CASE WHEN missing > 0 THEN 0.10 ELSE 0 END + CASE WHEN g % 6 = 0 THEN 0.13 ELSE 0 END
+    + CASE WHEN keepers > 1 THEN 0.09 ELSE 0 END + CASE WHEN g % 7 = 0 THEN 0.10 ELSE 0 END + CASE WHEN g % 9 = 0 THEN 0.08 ELSE 0 END + CASE WHEN g % 8 = 0 THEN 0.08 ELSE 0 END"""
 
 
-@query("dc3_risk_scores", f"SELECT g, round(least(1, s), 6)::DOUBLE AS score, round(round(least(1, s), 6)::DOUBLE * (1 + log2(members + 1)), 6) AS expected FROM (SELECT g, members, ({_W}) AS s FROM ({_G}))")
+@query("dc3_risk_scores", f"SELECT g, round(least(1, s), 6)::DOUBLE AS score, round(round(least(1, s), 6)::DOUBLE * (1 + log2(greatest(1, members - keepers) + 1)), 6) AS expected FROM (SELECT g, members, keepers, ({_W}) AS s FROM ({_G}))")
 def dc3(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     g = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("g")).agg(
-        F.count("*").alias("members"), (F.max(C.seconds(c("l_shipdate"))) - F.min(C.seconds(c("l_shipdate")))).alias("span"), (1 - F.max("l_tax")).alias("pair"), (1 - F.min("l_tax")).alias("adj"),
-        F.count_distinct("l_returnflag").alias("faces"), F.min("l_discount").alias("margin"), F.count_if(c("l_quantity") < 2).alias("missing"), F.count_distinct("l_linestatus").alias("keepers"),
+        F.count("*").alias("member_count"), (F.max(C.seconds(c("l_shipdate"))) - F.min(C.seconds(c("l_shipdate")))).alias("time_span_seconds"),
+        (1 - F.max("l_tax")).alias("min_pair_similarity"), (1 - F.min("l_tax")).alias("min_adjacent_similarity"), F.count_distinct("l_returnflag").alias("face_count_states"),
+        F.min("l_discount").alias("quality_margin"), F.count_if(c("l_quantity") < 2).alias("critical_missing_count"), F.count_distinct("l_linestatus").alias("keeper_count"),
     )
-    reasons = A.risk_reasons(c("members"), c("span"), c("pair"), c("adj"), c("faces"), c("margin"), c("missing"), c("keepers"), F.lit(1))
-    scored = g.select("g", "members", A.risk_score(reasons).alias("score"))
-    return scored.select("g", "score", A.expected_value(c("score"), c("members")).alias("expected"))
+    evidence = {x: c(x) for x in g.columns if x != "g"} | {
+        "group_type": F.when(c("g") % 4 == 0, "sha_exact").otherwise("burst"), "position_conflict": c("g") % 5 == 0, "v2_v3_disagreement": c("g") % 6 == 0,
+        "logical_phase_count": F.when(c("g") % 7 == 0, 2).otherwise(1), "changed": c("g") % 9 == 0,
+        "baseline_keeper_ids": F.array(c("g"), c("g") + 1), "candidate_keeper_ids": F.when(c("g") % 8 == 0, F.array(c("g"))).otherwise(F.array(c("g"), c("g") + 1, c("g") + 2)),
+    }
+    scored = g.select("g", A.review_impact(c("member_count"), c("keeper_count")).alias("impact"), A.risk_score(A.risk_reasons(evidence)).alias("score"))
+    return scored.select("g", "score", A.expected_value(c("score"), c("impact")).alias("expected"))
 
 
 @query("tk9_top_reasons", "SELECT e AS event_id, list_aggregate(list_slice(list_sort(list_filter([CASE WHEN v > 50 THEN 'B' END, CASE WHEN v > 20 THEN 'A' END, CASE WHEN v > 80 THEN 'C' END, CASE WHEN v > 90 THEN 'D' END], lambda x: x IS NOT NULL)), 1, 3), 'string_agg', ',') AS reasons FROM (SELECT event_id AS e, value AS v FROM events)")
@@ -335,9 +366,9 @@ def ag8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(C.fingerprint(F.collect_list("o_orderkey")).alias("mark"))
 
 
-@query("dc14_stale_decisions", "SELECT o_custkey, 'MEMBERS_CHANGED' AS reason FROM orders WHERE o_custkey % 4 = 0 GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_totalprice > 400000) > 0")
+@query("dc14_stale_decisions", "SELECT o_custkey, 'MEMBERS_CHANGED' AS reason FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_totalprice > 400000) > 0")
 def dc14(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey % 4 = 0").select("o_custkey", "o_orderkey", "o_totalprice")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     old = o.groupBy("o_custkey").agg(C.fingerprint(F.collect_list(F.when(F.col("o_totalprice") <= 400000, F.col("o_orderkey")))).alias("mark"))
     return R.stale(old, o, "o_custkey", "o_orderkey", "mark")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import decision as D
 from ..operators import evaluate as E
 from ..operators import evidence as V
 from ..operators import selection as S
@@ -154,11 +155,21 @@ def dc4(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("over_budget", F.col("phases") > 2)
 
 
-@query("dc12_authorization", "SELECT source, lang, coalesce(ok, false) AS allowed FROM (SELECT DISTINCT source, lang FROM documents) LEFT JOIN (VALUES ('en', true), ('de', true), ('fr', false)) p(lang, ok) USING (lang)")
+_PURPOSES = ("train", "threshold_search", "prompt_selection", "preset_selection", "final_evaluation", "browse")
+
+
+@query(
+    "dc12_authorization",
+    f"""WITH a AS (SELECT doc_id, ['train', 'tune', 'held_out'][1 + doc_id % 3] AS split, ({list(_PURPOSES)})[1 + doc_id // 3 % 6] AS purpose, doc_id // 18 % 2 = 0 AS labels FROM documents),
+    v AS (SELECT *, CASE WHEN purpose = 'browse' THEN 'UNKNOWN_PURPOSE' WHEN split = 'held_out' AND purpose <> 'final_evaluation' THEN 'HELD_OUT_IS_REPORT_ONLY' WHEN labels AND purpose <> 'final_evaluation' THEN 'LABELS_NEED_FINAL_EVALUATION'
+      WHEN purpose = 'final_evaluation' AND split <> 'held_out' THEN 'FINAL_EVALUATION_NEEDS_HELD_OUT' ELSE 'AUTHORIZED' END AS verdict FROM a)
+    SELECT doc_id, verdict, verdict = 'AUTHORIZED' AND labels AS labels_authorized, verdict = 'AUTHORIZED' AND split = 'held_out' AS report_only FROM v""",
+)
 def dc12(spark: SparkSession, d: str) -> DataFrame:
-    policy = F.create_map(F.lit("en"), F.lit(True), F.lit("de"), F.lit(True), F.lit("fr"), F.lit(False))
-    pairs = table(spark, d, "documents").select("source", "lang").distinct()
-    return pairs.withColumn("allowed", F.coalesce(F.try_element_at(policy, F.col("lang")), F.lit(False)))
+    i = F.col("doc_id")
+    nth = lambda at, *x: F.element_at(F.array(*map(F.lit, x)), (at % len(x) + 1).cast("int"))
+    use = D.authorize(nth(i, "train", "tune", "held_out"), nth(F.floor(i / 3), *_PURPOSES), F.floor(i / 18) % 2 == 0)
+    return table(spark, d, "documents").select("doc_id", use.alias("use")).select("doc_id", "use.*")
 
 
 @query("dc13_valid_actions", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'BAD_ACTION' WHEN value < 0 THEN 'BAD_VALUE' WHEN user_id NOT IN (SELECT c_custkey FROM customer) THEN 'OUT_OF_SCOPE' ELSE 'OK' END AS verdict FROM events")
@@ -176,10 +187,10 @@ def dc15(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"), F.round(margin, 6).alias("margin"), verdict.alias("verdict"))
 
 
-@query("au2_replay_diff", "SELECT doc_id, 'ONLY_PLAN' AS fault FROM documents WHERE doc_id < 50 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("au2_replay_diff", "SELECT doc_id, 'ONLY_PLAN' AS fault FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'ONLY_REPLAY' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def au2(spark: SparkSession, d: str) -> DataFrame:
-    plan = table(spark, d, "documents").where("doc_id < 50").select("doc_id", F.lit(1).alias("p"))
-    made = table(spark, d, "labels").where("doc_id < 50").select("doc_id", F.lit(1).alias("m"))
+    plan = table(spark, d, "documents").select("doc_id", F.lit(1).alias("p"))
+    made = table(spark, d, "labels").where("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("m")).distinct()
     j = plan.join(made, "doc_id", "full_outer").where("p IS NULL OR m IS NULL")
     return j.select("doc_id", F.when(F.col("m").isNull(), "ONLY_PLAN").otherwise("ONLY_REPLAY").alias("fault"))
 
@@ -189,9 +200,9 @@ def au7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("bytes")).withColumn("fits", F.col("bytes") <= 100_000)
 
 
-@query("au9_evidence_layers", "SELECT event_id, k AS path, v AS value, rank() OVER (PARTITION BY k ORDER BY v DESC) AS place FROM (SELECT event_id, unnest(json_keys(props)) AS k, json_extract(props, unnest(json_keys(props)))::DOUBLE AS v FROM events WHERE user_id < 30)")
+@query("au9_evidence_layers", "SELECT event_id, k AS path, v AS value, rank() OVER (PARTITION BY k ORDER BY v DESC) AS place FROM (SELECT event_id, unnest(json_keys(props)) AS k, json_extract(props, unnest(json_keys(props)))::DOUBLE AS v FROM events)")
 def au9(spark: SparkSession, d: str) -> DataFrame:
-    flat = V.json_numbers(table(spark, d, "events").where("user_id < 30"), "event_id", "props")
+    flat = V.json_numbers(table(spark, d, "events"), "event_id", "props")
     return flat.withColumn("place", F.rank().over(Window.partitionBy("path").orderBy(F.desc("value"))))
 
 
@@ -219,11 +230,11 @@ def ms12(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(docs.where("doc_id % 3 = 0"), ["doc_id", "k"], "left_semi").select("doc_id")
 
 
-@query("ms17_consistent_boxes", f"SELECT a.event_id AS a, b.event_id AS b FROM ({_B}) a JOIN ({_B}) b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.user_id < 10 AND sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) <= 0.35 * 20")
+@query("ms17_consistent_boxes", f"SELECT a.event_id AS a, b.event_id AS b FROM ({_B}) a JOIN ({_B}) b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) <= 0.35 * 20")
 def ms17(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import member_pairs
 
-    b = table(spark, d, "events").where("user_id < 10").select("user_id", "event_id", (F.col("value") % 50).alias("x"), (F.col("value") % 30).alias("y"))
+    b = table(spark, d, "events").select("user_id", "event_id", (F.col("value") % 50).alias("x"), (F.col("value") % 30).alias("y"))
     p = member_pairs(b, "user_id", "event_id", ["x", "y"])
     near = F.sqrt(F.pow(F.col("x_x") - F.col("y_x"), F.lit(2)) + F.pow(F.col("x_y") - F.col("y_y"), F.lit(2))) <= 0.35 * 20
     return p.where(near).select(F.col("x_event_id").alias("a"), F.col("y_event_id").alias("b"))
@@ -280,5 +291,11 @@ def gr11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gr12_dominance_penalty")
 def gr12(spark: SparkSession, d: str) -> DataFrame:
-    i = items(spark, d).select("user_id", "id", (F.col("value") / 100).alias("score"), F.array(F.col("value") % 5, F.col("value") % 7).alias("parts"), "embedding")
-    return S.dominance_penalty(i, "user_id", "id", "score", "parts", "embedding", least=0.1)
+    i = items(spark, d)
+    v = F.col("value")
+    box = F.array(v % 50 / 100, v % 30 / 100, v % 50 / 100 + 0.4, v % 30 / 100 + 0.4)
+    kinds = F.explode(F.array(F.lit("subject"), F.lit("face"))).alias("kind")
+    regions = i.select("user_id", "id", kinds, F.lit(0).alias("class_id"), box.alias("box"), "embedding", "value", "ts")
+    vector = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y * y)))
+    regions = regions.select("user_id", "id", "kind", "class_id", "box", vector.alias("vector"), F.col("value").alias("musiq"), (F.col("ts") % 100 / 100).alias("clipiqa"))
+    return S.dominance_penalty(i.select("user_id", "id", (v / 100).alias("score")), regions, "user_id", "id", "score", least=0.1)

@@ -132,12 +132,12 @@ def jn5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn6_null_safe_page",
-    """WITH p AS (SELECT doc_id AS position, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 END AS g FROM documents WHERE doc_id < 200),
+    """WITH p AS (SELECT doc_id AS position, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 END AS g FROM documents),
     m AS (SELECT vec_id, CASE WHEN label = 9 THEN NULL ELSE label END AS g FROM embeddings)
     SELECT p.position, min(m.vec_id) AS first_id FROM p LEFT JOIN m ON m.g IS NOT DISTINCT FROM p.g GROUP BY p.position""",
 )
 def jn6(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 5).alias("g"))
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 5).alias("g"))
     m = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") != 9, F.col("label").cast("long")).alias("h"))
     first = m.groupBy("h").agg(F.min("vec_id").alias("first_id"))  # one row per key before the join
     return p.join(first, F.col("g").eqNullSafe(F.col("h")), "left").select("position", "first_id")
@@ -258,7 +258,7 @@ def jn15(spark: SparkSession, d: str) -> DataFrame:
     return J.reciprocal_best(pairs, "a", "b", "s", 0.05, 0.01).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
-_BOX = "SELECT event_id, user_id, [value % 50, value % 30, value % 50 + 20, value % 30 + 20] AS box FROM events WHERE user_id < 20"
+_BOX = "SELECT event_id, user_id, [value % 50, value % 30, value % 50 + 20, value % 30 + 20] AS box FROM events"
 
 
 @query(
@@ -274,7 +274,7 @@ def jn19(spark: SparkSession, d: str) -> DataFrame:
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, d, "events").where("user_id < 20").select("event_id", "user_id", F.array(v % 50, v % 30, v % 50 + 20, v % 30 + 20).alias("box"))
+    return table(spark, d, "events").select("event_id", "user_id", F.array(v % 50, v % 30, v % 50 + 20, v % 30 + 20).alias("box"))
 
 
 _SIDE = "greatest(0, least(l.box[{j}], r.box[{j}]) - greatest(l.box[{i}], r.box[{i}]))"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import decision as D
 from ..operators import grouping as G
 from ..operators import selection as S
 from ..session import table
@@ -215,10 +216,12 @@ def gr7(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "gr4_displacement_guard",
-    """WITH p AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t, value % 50 AS x, value % 30 AS y FROM events), n AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
-    SELECT event_id, sqrt((x - px) ** 2 + (y - py) ** 2) / 50 > 0.30 AS blocked FROM n WHERE px IS NOT NULL""",
+    """WITH p AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t, CASE WHEN event_id % 9 <> 0 THEN value % 50 / 50 END AS x, CASE WHEN event_id % 9 <> 0 THEN value % 30 / 30 END AS y FROM events),
+    n AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(event_id) OVER w AS before FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+    SELECT event_id, coalesce(CASE WHEN x IS NOT NULL AND px IS NOT NULL THEN greatest(abs(x - px), abs(y - py)) > 0.30 END, false) AS blocked FROM n WHERE before IS NOT NULL""",
 )
 def gr4(spark: SparkSession, d: str) -> DataFrame:
-    p = _events(spark, d).select("event_id", "user_id", "t", (F.col("value") % 50).alias("x"), (F.col("value") % 30).alias("y"))
-    moved = F.sqrt(F.pow(F.col("x") - F.col("prev_x"), 2) + F.pow(F.col("y") - F.col("prev_y"), 2)) / 50 > 0.30
+    seen = lambda x: F.when(F.col("event_id") % 9 != 0, x)
+    p = _events(spark, d).select("event_id", "user_id", "t", F.array(seen(F.col("value") % 50 / 50), seen(F.col("value") % 30 / 30)).alias("c"))
+    moved = D.displaced(F.col("c"), F.col("prev_c"), 0.30)
     return G.adjacent(p, "user_id", [F.col("t"), F.col("event_id")], "event_id", {"blocked": moved}).select("event_id", "blocked")
