@@ -22,7 +22,9 @@ class Template:
     """How a turn is written, which roles are learned from, and which orders of roles are valid.
 
     `moves` maps (state, role) to the next state; a conversation is valid if every turn has a move and it
-    ends in one of `final`.
+    ends in one of `final`. No text and no role may look like a mark, so what escape() takes apart, "<|",
+    must be in `turn_open`, and what is never left in a role, a line break, in `role_close`; other templates
+    are refused.
     """
 
     turn_open: str = "<|im_start|>"
@@ -33,6 +35,10 @@ class Template:
     final: tuple[str, ...] = ("user", "assistant")
     moves: dict[tuple[str, str], str] = field(default_factory=_turns)
 
+    def __post_init__(self) -> None:
+        if "<|" not in self.turn_open or "\n" not in self.role_close:
+            raise ValueError('turn_open must have "<|" in it and role_close a line break, or texts could forge turns')
+
 
 CHATML = Template()
 
