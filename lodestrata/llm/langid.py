@@ -33,7 +33,7 @@ SAMPLE_DOCS, LEARNED, LEARNED_IN_ALL = 160, 80_000, 2_000_000
 #: Characters that one step of numpy advances by are as many as there are lanes of so many characters.
 LANE = 192
 #: Moves in the dense tables of all languages together, four bytes each.
-DENSE = 1 << 22
+DENSE = 1 << 23
 UNKNOWN = "und"
 _SPACE, _OTHER = 0, 1
 
@@ -139,14 +139,18 @@ class _Moves:
 
     def __call__(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where a phrase has begun. State 0 has read no phrase yet."""
-        out = self._table.take(np.minimum(state, self._rows) * np.int32(self._letters) + letter)
+        place = np.minimum(state, self._rows)
+        place *= self._letters
+        place += letter
+        out = self._table.take(place)
         at = np.flatnonzero(state >= self._rows)
         if len(at):
             here, c = state[at], letter[at]
             first = self._first.take(here)
             hit = first >> 32 == c
-            out[at[hit]] = first[hit] & 0xFFFFFFFF
-            at, here, c = at[~hit], here[~hit], c[~hit]
+            out[at] = np.where(hit, first & 0xFFFFFFFF, out[at])
+            rest = np.flatnonzero(~hit)
+            at, here, c = at[rest], here[rest], c[rest]
             key = here.astype(np.int64) << 20 | c
             slot = self._slot(key)
             while len(at):
@@ -323,7 +327,7 @@ def _predictor(made, key: str):
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for part in groups_of_texts(batch):
+            for part in groups_of_texts(batch, 2 << 20):
                 lang, score = model.predict(part)
                 langs += lang
                 scores += score.tolist()
