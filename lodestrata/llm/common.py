@@ -87,6 +87,30 @@ def _delete(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the steps of a long operator, so that Spark lets go of the
+    broadcasts and shuffle files of finished jobs, on executors too, and not only once the heap is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
+#: What a Python worker keeps from task to task: one object at most, so that workers that are used again by
+#: other kernels don't hold what nobody needs.
+_held: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """The object of this key, made anew if the worker holds another one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what the worker holds for another kernel."""
+    _held.clear()
+
+
 @atexit.register
 def _clean() -> None:
     for root, spark in _roots.items():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, groups_of_texts
+from .common import bound_batches, groups_of_texts, held
 
 #: Learned from per language: of up to SAMPLE_DOCS labelled documents, drawn by hash, whole texts up to
 #: LEARNED characters in all; over all languages up to LEARNED_IN_ALL characters, shared evenly.
@@ -314,16 +314,9 @@ def identify(docs: DataFrame, train: Column | None = None, model_texts: dict[str
     )
 
 
-#: The model that a worker used last, by its key: tasks of one job share it, and one model at most is held.
-_held: dict[str, Model] = {}
-
-
 def _predictor(made, key: str):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _held:
-            _held.clear()
-            _held[key] = Model(made=made.value)
-        model = _held[key]
+        model = held(key, lambda: Model(made=made.value))
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []

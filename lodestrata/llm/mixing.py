@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_small, discard, materialize
+from .common import WORD, broadcast_small, discard, materialize, tidy
 
 WEIGHTS = (5, 2, 1)
 #: Hash bits that order documents (13 hex digits), and the bits that each level of blocks takes of them.
@@ -183,6 +183,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shar
     targets = targets.withColumn("rounds", rounds).withColumn("rest", F.col("target") - F.col("rounds") * F.col("source_size"))
     sources = materialize(targets, partitions=1)
     cut = materialize(_cut(sized, sources), partitions=1)
+    tidy(docs.sparkSession)
 
     top = ORDER_BITS - LEVEL_BITS
     blocks = sized.select("source", F.shiftright("h", top).alias("block")).distinct().join(broadcast_small(cut), F.col("source").eqNullSafe(F.col("__s")), "left")
@@ -216,5 +217,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shar
     wide = wide.withColumn("draws", F.when(F.col("__times") > 0, dealt).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")))
     for t in (sources, cut, sized):
         discard(t)
+    tidy(docs.sparkSession)
     copies = F.size("draws")
     return wide.select(*kept, F.col("__size").alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).cast("long").alias("taken"), "draws")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64
+from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64, release, tidy
 from .components import components
 
 UNIVERSE_BITS = 20
@@ -75,6 +75,7 @@ def _signing(k: int, bands: int, rows: int):
     """Per document: set size, a 128-bit digest of the set, band keys and the sketch."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         circulant = Circulant(max(bands * rows, SKETCH))
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         weigh = mix64(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
@@ -220,6 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     star = _compared(tried, classes, docs, shingle)
     similar = _similar("shared", "n", "m", percent)
     first = materialize(components(star.where(similar), "a", "b"))
+    tidy(docs.sparkSession)
 
     at = member.join(hub, "key").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     at = materialize(at.select("key", "hub", "cls", "comp"))
@@ -233,14 +235,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.far") | (F.col("x.cls") < F.col("y.cls")))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _plausible("x", "y", percent))
     cross = cross.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).union(_leftovers(star, first, percent)).distinct()
-    more = _compared(materialize(cross), classes, docs, shingle).where(similar).select("a", "b")
+    cross = materialize(cross)
+    tidy(docs.sparkSession)
+    more = _compared(cross, classes, docs, shingle).where(similar).select("a", "b")
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
 
     placed = materialize(classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     named = placed.groupBy("component").agg(F.min("rep").alias("found"))
     named = placed.join(named, "component").select("digest", "found")
-    for t in (member, at, open_, tried, star, first, reps):
+    named = materialize(named)
+    for t in (member, at, open_, tried, star, first, reps, cross, classes, placed):
         discard(t)
+    tidy(docs.sparkSession)
     # rows without words have no digest; kept out of the join, they don't meet in one task
     brief = signed.select("doc_id", "n_shingles", "digest")
     out = brief.where("digest IS NOT NULL").join(named, "digest", "left").select("doc_id", "n_shingles", "found")

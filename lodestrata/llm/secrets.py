@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, groups_of_texts
+from .common import bound_batches, groups_of_texts, release
 from .forest import Forest
 
 LEAST, LEAST_QUOTED, CONTEXT = 16, 8, 40
@@ -211,6 +211,7 @@ def _scanner(threshold: float) -> Scanner:
 
 def _each(it: Iterator, threshold: float):
     """For batches of (texts, paths): the batch and its findings per text."""
+    release()
     for texts, paths in it:
         rows: list[list[tuple[int, int, str, float]]] = []
         names = paths.tolist()
