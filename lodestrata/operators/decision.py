@@ -24,11 +24,12 @@ NOTE_PHASE_UNCERTAIN = "(?:阶段|动作|姿势).{0,8}(?:不确定|无法判断|
 TUNING_PURPOSES, REPORT_PURPOSE = ("train", "threshold_search", "prompt_selection", "preset_selection"), "final_evaluation"
 
 
-def member_decision(profile: str = "balanced") -> tuple[Column, Column]:
+def member_decision(profile: str = "balanced", exposure_reason: Column | None = None) -> tuple[Column, Column]:
     """Decision and reason of a member that isn't the keeper. First match wins, and a missing feature comes
     before byte identity. Columns used: missing, same_sha, trusted, group_type, face_conflict, exposure,
-    exposure_reason, keeper_exposure, margin."""
+    keeper_exposure, margin. `exposure_reason` is put behind the codes that stem from it (else the class)."""
     c = F.col
+    detail = F.coalesce(exposure_reason if exposure_reason is not None else c("exposure"), F.lit(""))
     untrusted = F.when(c("group_type") == "phash_near", "PHASH_NEAR_UNTRUSTED").when(c("group_type") == "similar_scene", "SIMILAR_SCENE_UNTRUSTED").otherwise("GROUP_IMPURE")
     reject = (c("exposure") == "reject") & (c("keeper_exposure") != "reject")
     chain = [
@@ -39,9 +40,9 @@ def member_decision(profile: str = "balanced") -> tuple[Column, Column]:
         (c("group_type") == "phash_near", "MAYBE", F.lit("PHASH_NEAR_DUP_ONLY")),
         (c("group_type") == "similar_scene", "MAYBE", F.lit("SUBJECTIVE_ONLY: similar_scene")),
         (c("face_conflict"), "MAYBE", F.lit("FACE_COUNT_MISMATCH")),
-        (reject, "UNKNOWN" if profile == "conservative" else "MAYBE", F.concat(F.lit(f"EXPOSURE_UNCALIBRATED_{profile.upper()}: "), c("exposure_reason"))),
+        (reject, "UNKNOWN" if profile == "conservative" else "MAYBE", F.concat(F.lit(f"EXPOSURE_UNCALIBRATED_{profile.upper()}: "), detail)),
         (c("margin") < MARGINS[profile], "MAYBE", F.lit("LOW_MARGIN")),
-        (c("exposure") == "maybe", "MAYBE", F.concat(F.lit("EXPOSURE_BORDERLINE: "), c("exposure_reason"))),
+        (c("exposure") == "maybe", "MAYBE", F.concat(F.lit("EXPOSURE_BORDERLINE: "), detail)),
     ]
     decision = reason = None
     for when, what, why in chain:

@@ -39,7 +39,7 @@ _DECIDED = f"SELECT *, CASE WHEN missing THEN 'UNKNOWN' WHEN same_sha THEN 'AUTO
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    decision, reason = D.member_decision()
+    decision, reason = D.member_decision(exposure_reason=F.col("exposure_reason"))
     return _cases(spark, d).withColumn("decision", decision).withColumn("reason", reason)
 
 
