@@ -190,6 +190,12 @@ def gr3(spark: SparkSession, d: str) -> DataFrame:
     return G.greedy_groups(items(spark, d), "id", "ts", "embedding", 6 * 3600, 0.2)
 
 
+@query("gr3_layered_groups")
+def gr3_layers(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d).withColumn("h", C.sign_bits(F.col("embedding")))
+    return G.layered_groups(i, "id", "ts", "sha", "h", "embedding", window=6 * 3600, least=0.25, loose=(24 * 3600, 0.35))
+
+
 @query("gr6_leader_clusters")
 def gr6(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d).select(F.col("label").cast("long").alias("label"), "id", "value", "embedding")

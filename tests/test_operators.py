@@ -48,6 +48,73 @@ def test_greedy_groups_equal_global_search(spark, seed):
         assert {frozenset(g) for g in got.values()} == want
 
 
+def brute_layers(rows, window, bits, least, loose):
+    """All layers over the whole timeline, pair by pair. Rows: (id, ts, sha, h, v)."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    n = len(rows)
+    twin = [r[2] and sum(x[2] == r[2] for x in rows) > 1 for r in rows]
+    sets, kind = grouping.SpanUnion([r[1] for r in rows]), []
+    for layer, span in ((2, window), (3, window), (4, loose[0])):
+        for i, j in itertools.combinations(range(n), 2):
+            a, b = rows[i], rows[j]
+            if twin[i] or twin[j] or a[1] is None or b[1] is None or b[1] - a[1] > span:
+                continue
+            if layer == 2:
+                fits = a[3] is not None and b[3] is not None and bin(a[3] ^ b[3]).count("1") <= bits
+            else:
+                fits = a[4] is not None and b[4] is not None and float(np.dot(a[4], b[4])) >= (least if layer == 3 else loose[1])
+            if fits and sets.union(i, j, span):
+                kind.append((layer, i))
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(("sha", r[2]) if twin[i] else sets.find(i), []).append(r[0])
+    best = {}
+    for layer, i in kind:
+        best[sets.find(i)] = min(layer, best.get(sets.find(i), layer))
+    return {(frozenset(g), "sha_exact" if isinstance(k, tuple) else grouping.LAYERS[best[k]]) for k, g in groups.items() if len(g) > 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layered_groups_equal_global_search(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(90):
+        angle = rng.choice((0.0, 0.2, 1.2)) + rng.random() / 10
+        sha = rng.choice((None, "", "same")) if rng.random() < 0.2 else f"s{i}"
+        h = rng.choice((0, 1, 3, 7, 1 << 40, None))
+        v = None if rng.random() < 0.05 else [float(np.cos(angle)), float(np.sin(angle))]
+        rows.append((i, None if rng.random() < 0.1 else rng.randrange(900), sha, h, v))
+    df = spark.createDataFrame(rows, "id long, ts long, sha string, h long, v array<double>")
+    want = brute_layers(rows, 30, 2, 0.999, (60, 0.9995))
+    got = {}
+    for r in grouping.layered_groups(df.repartition(5), "id", "ts", "sha", "h", "v", window=30, bits=2, least=0.999, loose=(60, 0.9995)).collect():
+        got.setdefault((r.group_id, r.group_type, r.member_count), set()).add(r.id)
+    assert all(min(g) == k[0] and len(g) == k[2] for k, g in got.items())
+    assert {(frozenset(g), k[1]) for k, g in got.items()} == want
+    assert {k for _, k in want} >= {"sha_exact", "phash_near", "burst"}
+
+
+def test_layered_groups_guards_and_empty_tables(spark):
+    rows = [(1, 0, "a", 0, [1.0, 0.0], 1, 0.1), (2, 5, "b", 9, [1.0, 0.0], 2, 0.1), (3, 10, "c", 0, [0.0, 1.0], 1, 0.9), (4, 12, "d", 99, [0.0, 1.0], 1, 0.2)]
+    df = spark.createDataFrame(rows, "id long, ts long, sha string, h long, v array<double>, who int, x double")
+    args = dict(same_person=lambda x, y: F.col(f"{x}who") == F.col(f"{y}who"), moved=lambda x, y: F.abs(F.col(f"{x}x") - F.col(f"{y}x")) > 0.3, guard=["who", "x"])
+    groups = lambda **kw: {(r.id, r.group_type) for r in grouping.layered_groups(df, "id", "ts", "sha", "h", "v", **kw).collect()}
+    assert groups() == {(1, "phash_near"), (2, "phash_near"), (3, "phash_near"), (4, "phash_near")}
+    assert groups(**args) == {(1, "phash_near"), (3, "phash_near")}
+    assert grouping.layered_groups(df.limit(0), "id", "ts", "sha", "h", "v").collect() == []
+    with pytest.raises(ValueError):
+        grouping.layered_groups(df, "id", "ts", "sha", "h", "v", bits=3)
+
+
+def test_group_trust_refuses_chains(spark):
+    v = {1: 0.0, 2: 0.3, 3: 0.6, 4: None}
+    vectors = spark.createDataFrame([(i, None if a is None else [float(np.cos(a)), float(np.sin(a))]) for i, a in v.items()], "id long, v array<double>")
+    rows = [(10, 1, 1, "burst"), (10, 2, 1, "burst"), (10, 3, 1, "burst"), (11, 1, 2, "burst"), (11, 2, 2, "burst"), (12, 1, 4, "sha_exact"), (12, 4, 4, "sha_exact"), (13, 1, 1, "phash_near")]
+    members = spark.createDataFrame(rows, "g long, id long, k long, kind string")
+    got = {r.g: (round(r.purity, 4), r.trusted) for r in grouping.group_trust(members, vectors, "g", "id", "k", "kind", "v").collect()}
+    assert got == {10: (round(float(np.cos(0.6)), 4), False), 11: (round(float(np.cos(0.3)), 4), True), 12: (-1.0, True), 13: (1.0, False)}
+
+
 def test_ranged_islands_equal_plain_ones(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(i, rng.randrange(5000)) for i in range(300)], "id long, t long")
