@@ -21,7 +21,7 @@ def phase_edges(members: DataFrame, group: str, item: str, ts: str, vector: str,
     A cut takes a jump in time, a very low similarity, or one that is odd for the group along with a moved
     subject or another number of faces; near-hash groups (kind phash_near) also cut at a lasting change of
     scene. `center` is an array (x, y) or null. Groups of two or fewer have no cuts."""
-    order = Window.partitionBy(group).orderBy(F.col(ts).asc_nulls_last(), item)
+    order = Window.partitionBy(group).orderBy(F.col("t").asc_nulls_last(), item)
     whole = Window.partitionBy(group)
     m = members.select(group, item, kind, F.col(ts).alias("t"), unit(F.col(vector)).alias("v"), F.coalesce(F.col(faces), F.lit(0)).alias("f"), F.col(center).alias("c"))
     m = m.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))

@@ -64,34 +64,6 @@ def suppress_short(n: int, boundaries: dict[int, tuple[float, bool]], least: int
         del kept[min(weak, key=lambda e: (kept[e][0], e))]
 
 
-def phases(members: DataFrame, group: str, item: str, ts: str, vector: str, gap: int = 4, boundary: float = 0.93, least: int = 2) -> DataFrame:
-    """(group, item, phase): runs of members in order of time, cut where time jumps by more than `gap`
-    seconds, or where neighbours are unlike by more than the group's habit (similarity below `boundary`
-    and below the group's median less 0.035). A cut is strong by time or below boundary - 0.05 and 0.88;
-    short runs lose weak cuts. Groups of two are one phase."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, item], na_position="last")
-        v = np.stack([np.asarray(x, float) for x in pdf[vector]])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        n, t = len(pdf), pdf[ts].to_numpy(float)
-        cut: dict[int, tuple[float, bool]] = {}
-        if n >= 3:
-            near = (v[1:] * v[:-1]).sum(axis=1)
-            usual = float(np.median(near))
-            for i in range(1, n):
-                s, jump = near[i - 1], t[i] - t[i - 1] > gap
-                odd = s < boundary and s < usual - 0.035
-                if jump or odd:
-                    cut[i] = (1.0 - s + jump, bool(jump or s < min(0.88, boundary - 0.05)))
-            cut = {i: cut[i] for i in suppress_short(n, cut, least)}
-        marks = np.zeros(n, int)
-        marks[list(cut)] = 1
-        return pd.DataFrame({group: pdf[group].to_numpy(), item: pdf[item].to_numpy(), "phase": np.cumsum(marks)})
-
-    return members.select(group, item, ts, vector).groupBy(group).applyInPandas(run, f"{group} long, {item} long, phase long")
-
-
 def protect_variants(members: DataFrame, group: str, item: str, score: str, kept: str, place: str, shift: float) -> DataFrame:
     """At most one more keeper a group: the best member that isn't kept and stands more than `shift` from
     every kept one (`place` is an array x, y). (group, item)."""

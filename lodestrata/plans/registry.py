@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries on import.
-FAMILIES = ("grouping", "relational", "timeline", "judging", "more")
+FAMILIES = ("grouping", "relational", "timeline", "judging", "more", "matching")
 
 
 def query(name: str, sql: str | None = None):

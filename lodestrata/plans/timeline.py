@@ -204,12 +204,7 @@ def gr6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gr8_packed_batches")
 def gr8(spark: SparkSession, d: str) -> DataFrame:
-    return G.pack_batches(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 32, 40_000)
-
-
-@query("gr9_phases")
-def gr9(spark: SparkSession, d: str) -> DataFrame:
-    return S.phases(items(spark, d), "user_id", "id", "ts", "embedding", gap=86_400, boundary=0.3)
+    return G.pack_batches(table(spark, d, "documents").withColumn("block", F.floor(F.col("doc_id") / 10_000)), "block", "doc_id", "n_chars", 32, 40_000)
 
 
 @query("gr7_verified_tracks")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
-from lodestrata.operators import audit, decision, evaluate, evidence, grouping, joins, review, selection, upsert
+from lodestrata.operators import audit, decision, evaluate, evidence, grouping, joins, phasing, review, selection, upsert
 from lodestrata.sources import inventory, records
 from lodestrata.streaming import journal
 
@@ -156,11 +156,28 @@ def test_short_segments_lose_weak_boundaries():
 
 
 def test_phases_cut_at_time_gaps(spark):
-    rows = [(1, i, t, [1.0, 0.0]) for i, t in enumerate((0, 1, 20, 21))]
-    out = selection.phases(spark.createDataFrame(rows, "g long, id long, ts long, v array<double>"), "g", "id", "ts", "v").collect()
+    rows = [(1, i, t, [1.0, 0.0], 0, None, "burst") for i, t in enumerate((0, 1, 20, 21))]
+    df = spark.createDataFrame(rows, "g long, id long, ts long, v array<double>, f int, c array<double>, k string")
+    out = phasing.logical_phases(phasing.phase_edges(df, "g", "id", "ts", "v", "f", "c", "k"), "g", "id").collect()
     assert [r.phase for r in sorted(out, key=lambda r: r.id)] == [0, 0, 1, 1]
 
 
+def test_batches_do_not_depend_on_the_split(spark):
+    rng = random.Random(2)
+    rows = [(b, i, rng.choice((1, 5, 40, None))) for b in (0, 1) for i in range(b * 100, b * 100 + 60)]
+    want = []
+    for b in (0, 1):
+        batch, n, held = 0, 0, 0
+        for _, i, s in sorted(r for r in rows if r[0] == b):
+            if n and (n >= 4 or held + (s or 0) > 30):
+                batch, n, held = batch + 1, 0, 0
+            n, held = n + 1, held + (s or 0)
+            want.append((b, i, batch))
+    df = spark.createDataFrame(rows, "b long, id long, size long")
+    for parts in (1, 6):
+        assert sorted(tuple(r) for r in grouping.pack_batches(df.repartition(parts), "b", "id", "size", 4, 30).collect()) == want
+
+
 def test_leaders_and_tracks(spark):
     rows = [(1, 1, 0.9, [1.0, 0.0]), (1, 2, 0.8, [0.95, 0.31]), (1, 3, 0.7, [0.81, 0.59])]
     got = {r.id: r.leader for r in grouping.leader_clusters(spark.createDataFrame(rows, "g long, id long, q double, v array<double>"), "g", "id", "q", "v", 0.9).collect()}
