@@ -129,7 +129,7 @@ def phase_keepers(
             if critical and len(at) > target:
                 target, codes = target + 1, [*codes, "PRIMARY_BOUNDARY_EVIDENCE_EXTRA_KEEPER"]
             top = np.sort(scores[at])[::-1]
-            close = bool(part.optional.any()) and (top[0] - top[1] if len(top) > 1 else 1.0) < CLOSE_LEAD and bool((part.faces > 0).any())
+            close = bool(part.optional.any() and (top[0] - top[1] if len(top) > 1 else 1.0) < CLOSE_LEAD and (part.faces > 0).any())
             codes += ["OPTIONAL_SCORING_EVIDENCE_MISSING"] * bool(part.optional.any()) + ["OPTIONAL_EVIDENCE_LOW_MARGIN_REVIEW"] * close
             picks, banded = diverse_order(scores[at], sizes[at], ids[at], v[at], target, weight, slack)
             codes += ["QUALITY_BANDED_DIVERSITY"] * banded + ["MMR_QUALITY_DIVERSITY"] * (len(picks) > 1)

@@ -124,6 +124,18 @@ def test_ranged_islands_equal_plain_ones(spark):
         assert {r.id: (r.first_ts, r.last_ts) for r in grouping.ranged_islands(df, "id", "t", 25, slices).collect()} == want
 
 
+@pytest.mark.parametrize("by", [None, "g"])
+def test_range_pairs_deal_hot_buckets(spark, by, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_BUCKET", 7)
+    rng = random.Random(8)
+    rows = [(i, rng.choice((None, 5, 5, rng.randrange(100))), rng.randrange(2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, t long, g int")
+    got = sorted((r.x_id, r.y_id, r.gap) for r in joins.range_pairs(df, "id", "t", 10, ["g"] if not by else [], by).collect())
+    known = [r for r in rows if r[1] is not None]
+    want = sorted((a[0], b[0], b[1] - a[1]) for a in known for b in known if 0 <= b[1] - a[1] <= 10 and (b[1], b[0]) > (a[1], a[0]) and (not by or a[2] == b[2]))
+    assert got == want and len(want) > 500
+
+
 def test_dense_index(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("k")).repartition(5)
     assert all(r.k == r.position for r in review.dense_index(df, [F.col("k")]).collect())
