@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = str.maketrans(UPPER, LOWER)
 _roots: dict[str, object] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -107,8 +110,17 @@ def held(key: str, make):
 
 
 def release() -> None:
-    """Let go of what the worker holds for another kernel."""
+    """Let go of what the worker holds for another kernel, and hand free memory back to the machine."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand memory that is free inside this worker back to the machine: Arrow's pool, and the C library's heap
+    where it can. A worker lives on between tasks, and what its largest batch took stays its own otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 @atexit.register

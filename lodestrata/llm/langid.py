@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, groups_of_texts, held
+from .common import bound_batches, groups_of_texts, held, trim
 
 #: Learned from per language: of up to SAMPLE_DOCS labelled documents, drawn by hash, whole texts up to
 #: LEARNED characters in all; over all languages up to LEARNED_IN_ALL characters, shared evenly.
@@ -325,5 +325,6 @@ def _predictor(made, key: str):
                 langs += lang
                 scores += score.tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype="object"), "score": pd.Series(scores, dtype="float64")})
+            trim()
 
     return predict

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64, release, tidy
+from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64, release, tidy, trim
 from .components import components
 
 UNIVERSE_BITS = 20
@@ -91,6 +91,7 @@ def _signing(k: int, bands: int, rows: int):
                 sketch = (low[::2] | (low[1::2] << 4)).view(np.int64)
                 out.append((doc_id, len(s), _digest(s), keys.view(np.int64), sketch))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys", "sketch"]).astype({"doc_id": "Int64"})
+        trim()
 
     return run
 
@@ -103,6 +104,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _packing(k: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in it:
             for part in groups_of_texts(pdf["text"]):
                 sets = list(_sets(part, k))
