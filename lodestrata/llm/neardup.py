@@ -15,7 +15,10 @@ The hub rules out pairs exactly. Once x and y are compared with hub h, what each
 what it has beyond h is known. If x and y share nothing beyond h, their intersection lies in h and is no
 larger than the smaller of theirs with h; so a pair needs comparing only if it shares a shingle beyond h,
 or if that bound lets the sizes reach the threshold. Thousands of copies with edits of their own thus stay
-few pairs, even those that are too far from the original to be linked with it. Each comparison is exact, over the full sets.
+few pairs, even those that are too far from the original to be linked with it. How many shingles beyond h a
+pair must share at least follows from the sizes, so only the rarest of each member's shingles beyond h are
+joined (Xiao et al., 2008: "Efficient similarity joins for near duplicate detection"); a passage that all
+members have beyond h thus proposes pairs only where it can decide them. Each comparison is exact, over the full sets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, broadcast_small, discard, groups_of_texts, hash_shingles, hash_words, materialize, mix64, release, tidy, trim
@@ -161,6 +164,36 @@ def _similar(shared: str, n: str, m: str, percent: int) -> str:
     return f"{shared} * 100 >= ({n} + {m} - {shared}) * {percent}"
 
 
+def _by_shingle(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub, in different components, that sizes alone don't make candidates
+    and that can be similar by what they share beyond the hub.
+
+    A similar pair shares t = percent * (n + m) / (100 + percent) shingles at least, and no more than
+    min(s, s') of them in the hub, so t - min(s, s') or more beyond it. With each member's shingles beyond in
+    one order, rare ones first, the first one that both have comes early enough in both to leave so many.
+    For the smaller of two t is at least what it is for equal sizes, for the larger percent of its own size:
+    that bounds how far each is read before any partner is known. Nothing that can be similar is lost.
+    """
+    own = member.select("hub", "cls", F.explode("beyond").alias("shingle"))
+    # a shingle that one member alone has comes first in its order, and is no link
+    common = own.groupBy("hub", "shingle").agg(F.count("*").alias("many")).where("many > 1")
+    w = Window.partitionBy("hub", "cls")
+    place = own.join(common, ["hub", "shingle"]).select("hub", "cls", "shingle", F.row_number().over(w.orderBy("many", "shingle")).alias("at"), F.count("*").over(w).alias("several"))
+    more = F.size("beyond").cast("long")
+    known = member.select("hub", "cls", "n", "s", "comp", more.alias("more"))
+    place = place.join(known, ["hub", "cls"]).withColumn("at", F.col("at") + F.col("more") - F.col("several"))
+    # what is left from here on, itself included, must reach what is needed beyond the hub
+    left = F.col("more") - F.col("at") + 1
+    place = place.withColumn("left", left).where(f"left >= 1 AND (s + left) * 100 >= n * {percent}")
+    early = f"(s + left) * {100 + percent} >= 2 * n * {percent}"
+    x, y = place.where(early).alias("x"), place.alias("y")
+    ordered = F.struct("x.n", "x.cls") < F.struct("y.n", "y.cls")
+    sizes = F.col("x.n") * 100 >= F.col("y.n") * percent
+    enough = F.expr(_similar("(least(x.s, y.s) + least(x.left, y.left))", "x.n", "y.n", percent)) & ~F.expr(_similar("least(x.s, y.s)", "x.n", "y.n", percent))
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & ordered & sizes & enough & (F.col("x.comp") != F.col("y.comp")))
+    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+
+
 def _leftovers(star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that were compared with one hub and lie in different components, as far as
     the hub doesn't rule them out."""
@@ -169,9 +202,7 @@ def _leftovers(star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     split = member.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
     member = materialize(member.join(split, "hub").select("hub", "cls", "n", "s", "comp", "beyond"))
 
-    own = member.select("hub", "cls", "n", "comp", F.explode("beyond").alias("shingle"))
-    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.comp") < F.col("y.comp"))
-    by_shingle = own.alias("x").join(own.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.shingle") == F.col("y.shingle")) & near)
+    by_shingle = _by_shingle(member, percent)
 
     # by sizes: first for each kind (n, s) of member of a hub, of which there are few, then for members
     kind = member.groupBy("hub", "n", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -183,8 +214,7 @@ def _leftovers(star: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     x = slim.join(kinds, ["hub", "n", "s"]).select("hub", "n2", "s2", F.col("cls").alias("c1"), F.col("comp").alias("comp1"))
     y = slim.select("hub", F.col("n").alias("n2"), F.col("s").alias("s2"), "cls", "comp")
     by_size = x.join(y, ["hub", "n2", "s2"]).where("comp1 <> comp")
-    found = by_shingle.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    return materialize(found.union(by_size.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b"))).distinct())
+    return materialize(by_shingle.union(by_size.select(F.least("c1", "cls").alias("a"), F.greatest("c1", "cls").alias("b"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

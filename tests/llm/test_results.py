@@ -89,6 +89,30 @@ def test_near_duplicates_brute_force(spark, k):
     assert got == brute_components([i for i, _ in rows], shingle_sets([t for _, t in rows], k))
 
 
+@pytest.mark.parametrize(("passage", "pairs"), [(10, 0), (14, 60 * 59 // 2)])
+def test_near_copies_with_one_passage_beyond_their_hub(spark, passage, pairs):
+    """Sixty members share 75 of 100 shingles with the hub and a passage beyond it: pairs only where 89 are in reach."""
+    star = [(0, i, 100, 75, [*range(passage), *range(1000 * i, 1000 * i + 25 - passage)]) for i in range(1, 61)]
+    star = spark.createDataFrame(star, "a long, b long, m long, shared long, beyond array<long>")
+    assert neardup._leftovers(star, spark.createDataFrame([], "node long, component long"), 80).count() == pairs
+
+
+def test_leftovers_hold_every_similar_pair(spark):
+    rng = np.random.default_rng(3)
+    hub, sets = set(range(100)), {}
+    for i in range(1, 91):
+        family = range(200 + 40 * (i % 5), 200 + 40 * (i % 5) + 22 + i % 4)
+        sets[i] = set(rng.choice(100, int(rng.integers(66, 84)), replace=False).tolist()) | set(rng.choice(list(family), int(rng.integers(10, 22)), replace=False).tolist())
+        if i > 60:  # a copy of another member with few changes
+            sets[i] = set(sorted(sets[i - 60])[int(rng.integers(0, 4)) :]) | set(rng.integers(400, 440, int(rng.integers(0, 8))).tolist())
+    star = [(0, i, len(x), len(x & hub), sorted(x - hub)) for i, x in sets.items()]
+    star = spark.createDataFrame(star, "a long, b long, m long, shared long, beyond array<long>")
+    comp = spark.createDataFrame([(i, i % 7) for i in range(1, 91)], "node long, component long")
+    got = {(r.a, r.b) for r in neardup._leftovers(star, comp, 80).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 20 and all(a < b and a % 7 != b % 7 for a, b in got)
+
+
 def test_circulant_estimates_similarity():
     c = neardup.Circulant(252)
     x = common.mix64(np.arange(1000, dtype=np.uint64))
