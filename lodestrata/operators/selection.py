@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .grouping import range_cuts
+
 
 def keeper(members: DataFrame, group: str, item: str, score: str, size: str) -> DataFrame:
     """The member with the highest (score, size) of each group, the smallest id on ties."""
@@ -102,3 +105,33 @@ def dominance_penalty(members: DataFrame, regions: DataFrame, group: str, item:
     beaten = other.union(faces).select(F.col("__g").alias(group), F.col("__x").alias(item)).distinct()
     out = members.join(beaten.withColumn("__b", F.lit(True)), [group, item], "left")
     return out.select(group, item, F.when(F.col("__b"), F.greatest(F.lit(0.0), F.col(score) - penalty)).otherwise(F.col(score)).alias("adjusted"))
+
+
+def next_in_queue(rows: DataFrame, item: str, asks: str, queued: str, slices: int = 64) -> DataFrame:
+    """For each item that asks: (item, next_id, place), the next queued item, else the last one of all, and how many
+    queued rows come before it, once for each of the item's rows that ask. An empty queue gives no rows; a null
+    item has none before it and is nobody's next.
+
+    Items are cut into `slices` ranges of about as many each. Within one, running sums and minima do; of each
+    range only its number of queued rows and its first queued item meet the other ranges'.
+    """
+    yes = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long"))
+    each = checkpointed(rows.groupBy(item).agg(yes(asks).alias("__asks"), yes(queued).alias("__n")).where("__asks > 0 OR __n > 0"))
+    cuts = range_cuts(each.where(F.col(item).isNotNull()), item, slices)
+    place = F.lit(0)
+    for k, cut in enumerate(cuts):
+        place = F.when(F.col(item) > cut, k + 1).otherwise(place)
+    ranged = each.where(F.col(item).isNotNull()).withColumn("__r", place)
+    q = F.when(F.col("__n") > 0, F.col(item))
+    back, ahead = Window.partitionBy("__r").orderBy(item), Window.partitionBy("__r").orderBy(F.desc(item))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("__before", F.coalesce(F.sum("__n").over(upto(back)), F.lit(0))).withColumn("__next", F.min(q).over(upto(ahead)))
+    # a row a range
+    whole = ranged.groupBy("__r").agg(F.sum("__n").alias("n"), F.min(q).alias("first"))
+    up, down = Window.orderBy("__r"), Window.orderBy(F.desc("__r"))
+    ends = whole.select("__r", F.coalesce(F.sum("n").over(upto(up)), F.lit(0)).alias("__lower"), F.min("first").over(upto(down)).alias("__later"))
+    found = inner.join(F.broadcast(ends), "__r").where("__asks > 0")
+    found = found.select(item, F.coalesce("__next", "__later").alias("next_id"), ((F.col("__before") + F.col("__lower")) * F.col("__asks")).alias("place"))
+    nobody = each.where(F.col(item).isNull() & (F.col("__asks") > 0)).select(item, F.lit(None).cast(each.schema[item].dataType).alias("next_id"), F.lit(0).cast("long").alias("place"))
+    last = each.where("__n > 0").agg(F.max(item).alias("__last"), F.count("*").alias("__queued")).where("__queued > 0")
+    return found.union(nobody).crossJoin(F.broadcast(last)).select(item, F.coalesce("next_id", "__last").alias("next_id"), "place")

@@ -346,3 +346,17 @@ def test_span_stream_is_the_union_in_order():
             stream.feed(layer, a, b, ta, tb, window)
         got = stream.groups({2: "2", 4: "4"})
         assert {r.item: (r.group_id, r.group_type) for r in got.itertuples()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("slices", [1, 5, 64])
+def test_next_in_queue_brute_force(spark, slices):
+    """Repeated and null items, long runs without a queued one, and an empty queue."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), rng.random() < 0.5, rng.random() < 0.2) for _ in range(90)] + [(None, True, True), (None, True, None), (70, True, False), (70, None, False)]
+    queue = [i for i, _, q in rows if q and i is not None]
+    asks = {i: sum(1 for j, a, _ in rows if a and i == j) for i, a, _ in rows if a}
+    want = {(i, min((q for q in queue if i is not None and q > i), default=max(queue)), n * sum(1 for q in queue if i is not None and q < i)) for i, n in asks.items()}
+    df = spark.createDataFrame(rows, "id long, asks boolean, queued boolean")
+    got = selection.next_in_queue(df, "id", "asks", "queued", slices).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert selection.next_in_queue(df.where("NOT queued"), "id", "asks", "queued", slices).count() == 0
