@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,7 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -94,6 +96,22 @@ def tidy(spark: SparkSession) -> None:
     """Collect the driver's garbage between the steps of a long operator, so that Spark lets go of the
     broadcasts and shuffle files of finished jobs, on executors too, and not only once the heap is full."""
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Hand memory that is free in the C heap of the driver's JVM back to the machine. The compiler of the JVM works
+    there; with many plans what it has freed is more than the Java heap, and is kept otherwise. JVMs that
+    don't know how (not on Linux, or before 17.0.9) are left as they are."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # by its interface: the server's own class is closed to other modules
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        pass
 
 
 #: What a Python worker keeps from task to task: one object at most, so that workers that are used again by
